@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm import chat, exact_dedup, mixing, sharding
+from chunklake.llm import chat, decontamination, exact_dedup, mixing, sharding, simhash
 from chunklake.llm.common import scratch_path
 
 SHARDS = 24
@@ -35,15 +35,25 @@ def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"), index)
 
 
+def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clustered(table(spark, sf_dir, "documents"), words_in_shingle=3, most=3)
+
+
 def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op8_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op3_chat_windows": op3_chat_windows,
     "op4_digest_index": op4_digest_index,
+    "op6_simhash_multi_index": op6_simhash_multi_index,
     "op7_bounded_ring": op7_bounded_ring,
+    "op8_bm25_wand": op8_bm25_wand,
 }
 
 ORACLES: dict[str, str] = {
