@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm import chat, decontamination, exact_dedup, mixing, sharding, simhash
+from chunklake.llm import chat, decontamination, exact_dedup, langid, licenses, mixing, quality, sharding, simhash
 from chunklake.llm.common import scratch_path
 
 SHARDS = 24
@@ -19,11 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Rows that nothing is learned from; a null doc_id counts as held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mixing.mix(table(spark, sf_dir, "documents"), weights=SOURCE_WEIGHTS)
     return x.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.predict(docs, model).withColumn("held_out", held_out())
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), F.lit(EXTRA_CHAT).alias("text"))
@@ -35,6 +46,12 @@ def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"), index)
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs.where(~held_out()), labels.where(~held_out()))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clustered(table(spark, sf_dir, "documents"), words_in_shingle=3, most=3)
 
@@ -47,13 +64,20 @@ def op8_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op2_hierarchical_langid": op2_hierarchical_langid,
     "op3_chat_windows": op3_chat_windows,
     "op4_digest_index": op4_digest_index,
+    "op5_pu_quality": op5_pu_quality,
     "op6_simhash_multi_index": op6_simhash_multi_index,
     "op7_bounded_ring": op7_bounded_ring,
     "op8_bm25_wand": op8_bm25_wand,
+    "op9_license_join": op9_license_join,
 }
 
 ORACLES: dict[str, str] = {
