@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm import chat, decontamination, exact_dedup, langid, licenses, mixing, quality, sharding, simhash
+from chunklake.llm import chat, decontamination, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, suffix_dedup
 from chunklake.llm.common import scratch_path
 
 SHARDS = 24
@@ -68,6 +68,10 @@ def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_hierarchical_langid": op2_hierarchical_langid,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bounded_ring": op7_bounded_ring,
     "op8_bm25_wand": op8_bm25_wand,
     "op9_license_join": op9_license_join,
+    "op10_suffix_radix": op10_suffix_radix,
 }
 
 ORACLES: dict[str, str] = {
