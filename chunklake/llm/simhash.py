@@ -1,16 +1,19 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints: 64 bits over shingles of words. Distinct fingerprints, not documents, are indexed, so copies of any number cost
-one row. A fingerprint is cut into two segments of 32 bits. Two fingerprints that differ in at most 3 bits differ in at most
-one bit in one of the segments: so each fingerprint enumerates the Hamming ball of radius 1 in each segment (33 keys), fetches
-the table's fingerprints that have such a segment, and each match is verified over all 64 bits. Nothing is capped.
-
-A bucket of the table can still be large where very many different near copies share a segment. There all pairs would be
-made; so buckets of more than HOT fingerprints are cut again: within a ball match of the one segment the other differs in at most 3
-bits, so one of its four bytes is equal; the pair is fetched once by the first equal byte. Every link is found either way.
-
-Cases: null text is empty; a text without words has fingerprint zero and is linked like any other; one or two words are one
-shingle; null doc_id: such documents have fingerprints and can link others, and their component is null only if
+Fingerprints: 64 bits over shingles of words, one or several (``count``) per text from independent hashes. Distinct fingerprints,
+not documents, are indexed, so copies of any number cost one row. A fingerprint is cut into two segments of 32 bits. Two that
+differ in at most 3 bits differ in at most one bit in one of the segments: so each fingerprint enumerates the Hamming ball of
+radius 1 in each segment (33 keys), fetches the table's fingerprints with such a segment, and each match is verified over all
+64 bits. With several fingerprints one near match links two texts if all their bits together agree well enough.
+
+A bucket of the table may hold very many different near copies, of which not all pairs are made and none is lost. In
+buckets of more than HOT nodes each node is first compared with PIVOTS nodes of the bucket; what they link is contracted to
+components. Two nodes of one component need no further link. So in such a bucket nodes of its largest component
+are not compared with each other: only nodes of other components are compared with all. The links that come out are not all
+links, but they reach exactly the same documents.
+
+Cases: null text is empty; a text without words has fingerprint zero and is linked like any other; fewer words than a shingle are
+one shingle; null doc_id: such documents have fingerprints and can link others, and their component is null only if
 it has no other document; repeated rows are documents like others; other columns aren't read (``one_of_each`` keeps them).
 """
 
@@ -26,41 +29,56 @@ from pyspark.sql import functions as F
 
 from chunklake.llm.common import written
 from chunklake.llm.components import components
+from chunklake.llm.tokens import chunks
 
 BITS = 64
 #: Shingles whose hashes are counted at a time: bounds the memory for a very long text.
-PART = 1 << 16
+PART = 1 << 14
+#: Nodes in a bucket from which it counts as crowded, and pivots of such a bucket.
+HOT, PIVOTS = 64, 8
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash of each base hash; the 0th is the base hash itself."""
+    if not k:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> int:
+def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42, count: int = 1) -> np.ndarray:
+    """``count`` fingerprints of a text."""
     words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(count, np.uint64)
     data = b" ".join(words)
-    n = len(words) - words_in_shingle + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(data, seed)
+    n = max(1, len(words) - words_in_shingle + 1)
     # every shingle is a slice of the joined words
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts = np.concatenate(([0], spaces + 1))[:n].tolist()
-    ends = np.concatenate((spaces, [len(data)]))[words_in_shingle - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    ends = np.concatenate((spaces, [len(data)]))[words_in_shingle - 1 :].tolist() or [len(data)]
+    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS * count, np.int64)
     for i in range(0, n, PART):
         hashes = np.array([digest(data[a:b], seed) for a, b in zip(starts[i : i + PART], ends[i : i + PART], strict=True)], np.uint64)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (total * 2 > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        every = hashes[:, None] if count == 1 else np.stack([mixed(hashes, k) for k in range(count)], 1)
+        bits = np.unpackbits(every.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.uint32)
+    return np.packbits((total * 2 > n).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """doc_id and fp (64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 1) -> DataFrame:
+    """doc_id, node (all fingerprints as bytes, most significant first) and fps (signed longs)."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            fp = np.fromiter((fingerprint(t.as_py(), words_in_shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            for c in chunks(iter([b])):
+                fp = [fingerprint(t, words_in_shingle, count=count) for t in c.column(1).to_pylist()]
+                node = pa.array([f.astype(">u8").tobytes() for f in fp], pa.binary())
+                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), node, pa.array([f.view(np.int64).tolist() for f in fp], pa.list_(pa.int64()))], ["doc_id", "node", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, node binary, fps array<long>")
 
 
 def ball(segment: Column) -> Column:
@@ -68,58 +86,70 @@ def ball(segment: Column) -> Column:
     return F.concat(F.array(segment), *(F.array(segment.bitwiseXOR(F.lit(1 << i))) for i in range(32)))
 
 
-def links(distinct: DataFrame, most: int = 3, hot: int = 64) -> DataFrame:
-    """Pairs u < v of the fingerprints (fp, distinct) that differ in 1 to ``most`` (at most 3) bits."""
+def differing(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of longs."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
+def links(nodes: DataFrame, most: int = 3, most_in_all: int | None = None, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs u < v that join the same nodes as all pairs of near nodes would.
+
+    nodes: node, fps; distinct. Near: in one fingerprint at most ``most`` (at most 3) bits differ, and of all fingerprints'
+    bits at most ``most_in_all``.
+    """
     if most > 3:
         raise ValueError("two segments with balls of radius 1 find 3 differing bits at most")
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    table = distinct.select("fp", F.inline(F.array(F.struct(F.lit(0).alias("segment"), low.alias("key"), high.alias("rest")), F.struct(F.lit(1).alias("segment"), high.alias("key"), low.alias("rest")))))
-    table = written(table, "segments")
-    crowded = table.groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("segment", "key", F.lit(True).alias("crowded"))
-    crowded = written(crowded, "crowded-segments")
-    entries = table.join(crowded, ["segment", "key"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    probes = table.select("fp", "segment", "rest", F.explode(ball(F.col("key"))).alias("key"))
-    found = [_pairs(entries.where("not crowded"), probes, [])]
-    if not crowded.isEmpty():
-        byte = lambda i: F.shiftright("rest", 8 * i).bitwiseAND(255)
-        cut = F.inline(F.array(*(F.struct(F.lit(i).alias("byte"), byte(i).alias("value")) for i in range(4))))
-        into = probes.join(crowded, ["segment", "key"], "left_semi").select("*", cut)
-        first = F.when(F.col("q.rest").bitwiseXOR(F.col("t.rest")).bitwiseAND(255) == 0, 0)
-        for i in range(1, 4):
-            first = first.when(F.shiftright(F.col("q.rest").bitwiseXOR(F.col("t.rest")), 8 * i).bitwiseAND(255) == 0, i)
-        found.append(_pairs(entries.where("crowded").select("*", cut), into, ["byte", "value"]).where(first == F.col("t.byte")))
-    near = F.bit_count(F.col("q.fp").bitwiseXOR(F.col("t.fp"))) <= most
-    out = None
-    for x in found:
-        x = x.where(near).select(F.col("q.fp").alias("u"), F.col("t.fp").alias("v"))
-        out = x if out is None else out.unionByName(x)
-    return out.distinct()
-
-
-def _pairs(entries: DataFrame, probes: DataFrame, more: list[str]) -> DataFrame:
-    on = F.col("q.fp") < F.col("t.fp")
-    for c in ["segment", "key", *more]:
-        on = on & (F.col(f"q.{c}") == F.col(f"t.{c}"))
-    return probes.alias("q").join(entries.alias("t"), on)
-
-
-def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach) of every document."""
-    own = written(fingerprints(docs, words_in_shingle), "fingerprints")
-    per = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
-    member = components(links(per.select("fp"), most))
-    least = per.join(member, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "low")
+    key = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
+    one = nodes.select("node", "fps", F.posexplode("fps").alias("which", "fp"))
+    halves = F.inline(F.array(*(F.struct((F.col("which") * 2 + i).alias("segment"), k.alias("key")) for i, k in enumerate(key))))
+    table = written(one.select("node", "fps", "fp", halves), "segments")
+    all_of = F.lit(True) if most_in_all is None else differing(F.col("q.fps"), F.col("t.fps")) <= most_in_all
+    near = (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("t.fp"))) <= most) & all_of
+    same = (F.col("q.segment") == F.col("t.segment")) & (F.col("q.key") == F.col("t.key"))
+    pair = [F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v")]
+
+    crowded = written(table.groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n"), *(F.min_by(F.struct("node", "fps", "fp"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(pivots))).where(F.col("n") > hot).drop("n"), "crowded-segments")
+    if crowded.isEmpty():
+        probes = table.select("node", "fps", "fp", "segment", F.explode(ball(F.col("key"))).alias("key"))
+        return probes.alias("q").join(table.alias("t"), same & (F.col("q.node") < F.col("t.node")) & near).select(*pair).distinct()
+
+    # 1. links to the pivots, and the components that they make
+    chosen = crowded.select("segment", "key", F.inline(F.array(*(f"p{i}" for i in range(pivots)))))
+    first = written(table.alias("q").join(chosen.alias("t"), same & (F.col("q.node") != F.col("t.node")) & near).select(*pair).distinct(), "pivot-links")
+    part = components(first).withColumnRenamed("node", "member")
+    table = table.join(part, F.col("node") == F.col("member"), "left").select("node", "fps", "fp", "segment", "key", F.coalesce("component", "node").alias("part"))
+    table = written(table, "segments-of-parts")
+    # 2. each crowded bucket's largest component
+    inside = table.join(crowded.select("segment", "key"), ["segment", "key"], "left_semi").groupBy("segment", "key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = written(inside.groupBy("segment", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main")), "main-parts")
+    table = written(table.join(main, ["segment", "key"], "left").withColumn("in_main", F.coalesce(F.col("part") == F.col("main"), F.lit(False))).drop("main"), "segments-by-part")
+    # 3. everyone is compared with the nodes outside the main parts, and main parts with the nodes of other parts only
+    probes = table.select("node", "fps", "fp", "part", "segment", F.explode(ball(F.col("key"))).alias("key"))
+    apart = same & (F.col("q.part") != F.col("t.part")) & near
+    rare = probes.alias("q").join(table.where("not in_main").alias("t"), apart).select(*pair)
+    others = probes.join(main, ["segment", "key"]).where(F.col("part") != F.col("main")).drop("main")
+    rest = others.alias("q").join(table.where("in_main").alias("t"), apart).select(*pair)
+    return first.unionByName(rare).unionByName(rest).distinct()
+
+
+def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count: int = 1, most_in_all: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits each) and component_id (the smallest doc_id that links reach) of every document."""
+    own = written(fingerprints(docs, words_in_shingle, count), "fingerprints")
+    per = written(own.groupBy("node", "fps").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
+    member = components(links(per.select("node", "fps"), most, most_in_all)).withColumnRenamed("node", "member")
+    least = per.join(member, F.col("node") == F.col("member"), "left").select("node", F.coalesce("component", "node").alias("component"), "low")
     least = written(least, "fingerprint-components")
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(least.join(roots, "component").select("fp", "component_id"), "component-names")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(least.join(roots, "component").select("node", "component_id"), "component-names")
+    return own.select("doc_id", "node").join(named, "node").select("doc_id", F.lower(F.hex("node")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words_in_shingle: int = 3, most: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, words_in_shingle: int = 5, most: int = 3, count: int = 4, most_in_all: int = 40) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component (rows repeated in that doc_id stay together).
 
-    Documents without a doc_id stay only where their component has none with one.
+    The defaults link texts whose 256 bits agree as those of texts do that share 0.8 of their five-word shingles (40 of 256 bits
+    stand for an angle whose cosine is 0.88, the cosine of two such sets). Documents without a doc_id stay only where their
+    component has none with one.
     """
-    drop = clustered(docs, words_in_shingle, most).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    drop = clustered(docs, words_in_shingle, most, count, most_in_all).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(written(drop, "near-duplicates"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
