@@ -38,15 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunklake.llm.common import plain, written
+from chunklake.llm.tokens import chunks
 
 WINDOW, RUN = 50, 16
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 CACHED = 96 << 10
-STEP = 1 << 20
+STEP = 1 << 18
 NO_ID = 2**63 - 1
 PARTS = "part int, doc_id long, h long, spans binary, payload binary"
 SPANS = "doc_id long, h long, spans binary"
-PIECE = np.dtype([("doc", "<u4"), ("start", "<i8"), ("place", "u1"), ("windows", "u1")])
+PIECE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("place", "u1"), ("windows", "u1")])
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -209,7 +210,7 @@ def sent(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], parts: int) ->
     part = (code[kept] % np.uint64(parts)).astype(np.int64)
     kept, part = kept[np.argsort(part, kind="stable")], np.sort(part)
     cut = np.append(_groups(part), len(part)) if len(part) else []
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         own = kept[a:b]
         docs, doc = np.unique(owner[own], return_inverse=True)
@@ -239,7 +240,7 @@ def received(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
             columns[c] = np.frombuffer(p, PIECE[c], n, at)
             at += n * PIECE[c].itemsize
         doc.append(columns["doc"].astype(np.int64) + base)
-        start.append(columns["start"])
+        start.append(columns["start"].astype(np.int64))
         place.append(columns["place"])
         windows.append(columns["windows"])
         text.append(p[at:])
@@ -270,13 +271,13 @@ def _mapper(parts: int):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in rows:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if held and size + len(row[2]) > CHUNK:
+            for c in chunks(iter([b]), 2):
+                if held and size + c.column(2).nbytes > CHUNK:
                     if out := list(sent(*_columns(held), parts)):
                         yield table(out)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+                held += zip(*(v.to_pylist() for v in c.columns), strict=True)
+                size += c.column(2).nbytes
         if held and (out := list(sent(*_columns(held), parts))):
             yield table(out)
 
@@ -304,7 +305,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, h and the list of spans of all documents that lose text; one row per document and text."""
     x = keyed(docs)
     total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -333,7 +334,7 @@ def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(s, (F.col("doc_id") == F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
 
 
-def removals(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+def removals(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +351,7 @@ def removals(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     return x.mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs with their texts cut."""
     schema = docs.schema
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

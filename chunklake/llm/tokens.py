@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: A-Z in lower case; ASCII letters, digits and all of UTF-8 beyond ASCII are parts of words; the rest separates.
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Bytes of text that are taken up at a time, unless one text alone has more.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
