@@ -1,3 +1,10 @@
 """chunklake: versioned key-to-blob record logs as DataFrame transformations."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so that a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
