@@ -1,10 +1,14 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints: 64 bits over shingles of words, one or several (``count``) per text from independent hashes. Distinct fingerprints,
-not documents, are indexed, so copies of any number cost one row. A fingerprint is cut into two segments of 32 bits. Two that
-differ in at most 3 bits differ in at most one bit in one of the segments: so each fingerprint enumerates the Hamming ball of
-radius 1 in each segment (33 keys), fetches the table's fingerprints with such a segment, and each match is verified over all
-64 bits. With several fingerprints one near match links two texts if all their bits together agree well enough.
+Fingerprints: 64 bits over shingles of words. Distinct fingerprints, not documents, are indexed, so copies of any number cost
+one row. A fingerprint is cut into two segments of 32 bits. Two that differ in at most 3 bits differ in at most one bit in one
+of the segments: so the Hamming ball of radius 1 is enumerated in each segment, the table's fingerprints with such a segment are
+fetched, and each match is verified over all bits. Of two segments that differ in one bit, one has an even number of ones:
+only these enumerate their ball, the others are looked up.
+
+``one_of_each`` finds near copies at a similarity, not at a distance: it indexes four fingerprints of the text's set of words
+(eight segments; 15 of 256 bits are always found, more with high probability) and verifies four fingerprints of its
+five-word shingles: 40 of 256 bits stand for an angle whose cosine is 0.88, that of sets which share 0.8 of their shingles.
 
 A bucket of the table may hold very many different near copies, of which not all pairs are made and none is lost. In
 buckets of more than HOT nodes each node is first compared with PIVOTS nodes of the bucket; what they link is contracted to
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunklake.llm.common import written
@@ -48,108 +52,139 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42, count: int = 1) -> np.ndarray:
-    """``count`` fingerprints of a text."""
-    words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(count, np.uint64)
-    data = b" ".join(words)
-    n = max(1, len(words) - words_in_shingle + 1)
-    # every shingle is a slice of the joined words
-    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    starts = np.concatenate(([0], spaces + 1))[:n].tolist()
-    ends = np.concatenate((spaces, [len(data)]))[words_in_shingle - 1 :].tolist() or [len(data)]
+def majority(pieces: list[bytes], seed: int, count: int) -> np.ndarray:
+    """``count`` fingerprints: a bit is 1 if it is set in over half the pieces' hashes."""
     digest, total = xxhash.xxh64_intdigest, np.zeros(BITS * count, np.int64)
-    for i in range(0, n, PART):
-        hashes = np.array([digest(data[a:b], seed) for a, b in zip(starts[i : i + PART], ends[i : i + PART], strict=True)], np.uint64)
+    for i in range(0, len(pieces), PART):
+        hashes = np.array([digest(p, seed) for p in pieces[i : i + PART]], np.uint64)
         every = hashes[:, None] if count == 1 else np.stack([mixed(hashes, k) for k in range(count)], 1)
         bits = np.unpackbits(every.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.uint32)
-    return np.packbits((total * 2 > n).astype(np.uint8), bitorder="little").view(np.uint64)
+    return np.packbits((total * 2 > len(pieces)).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
+
+
+def shingles(words: list[bytes], size: int) -> list[bytes]:
+    """Neighbouring words joined by spaces, repeats included; too few words are one shingle."""
+    if not words:
+        return []
+    data = b" ".join(words)
+    n = max(1, len(words) - size + 1)
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts = np.concatenate(([0], spaces + 1))[:n].tolist()
+    ends = np.concatenate((spaces, [len(data)]))[size - 1 :].tolist() or [len(data)]
+    return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+
+
+def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42, count: int = 1) -> np.ndarray:
+    """``count`` fingerprints of a text's shingles."""
+    return majority(shingles(words_of(text), words_in_shingle), seed, count)
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 1) -> DataFrame:
-    """doc_id, node (all fingerprints as bytes, most significant first) and fps (signed longs)."""
+def index_and_check(text: bytes | None, words_in_shingle: int, count: int) -> np.ndarray:
+    """``count`` fingerprints of the set of words, then as many of the shingles."""
+    words = words_of(text)
+    return np.concatenate([majority(sorted(set(words)), 7, count), majority(shingles(words, words_in_shingle), 42, count)])
+
+
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 0) -> DataFrame:
+    """doc_id, node and fps: one fingerprint, which is the node; or, with a count, so many of the words' set and of
+    the shingles, and a 64-bit code of them all as the node."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for c in chunks(iter([b])):
-                fp = [fingerprint(t, words_in_shingle, count=count) for t in c.column(1).to_pylist()]
-                node = pa.array([f.astype(">u8").tobytes() for f in fp], pa.binary())
-                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), node, pa.array([f.view(np.int64).tolist() for f in fp], pa.list_(pa.int64()))], ["doc_id", "node", "fps"])
+                texts = c.column(1).to_pylist()
+                fps = [(index_and_check(t, words_in_shingle, count) if count else fingerprint(t, words_in_shingle)).view(np.int64).tolist() for t in texts]
+                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
+
+    x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, fps array<long>")
+    return x.select("doc_id", (F.xxhash64("fps") if count else F.get("fps", F.lit(0))).alias("node"), "fps")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, node binary, fps array<long>")
 
+def slots(nodes: DataFrame, indexed: int) -> DataFrame:
+    """node and slot: the number of a segment (high half) and its 32 bits (low half), two for each indexed fingerprint."""
+    halves = []
+    for i in range(indexed):
+        fp = F.get("fps", F.lit(i))
+        for j, half in enumerate((fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))):
+            halves.append(half.bitwiseOR(F.lit((2 * i + j) << 32)))
+    return nodes.select("node", F.explode(F.array(*halves)).alias("slot"))
 
-def ball(segment: Column) -> Column:
-    """A 32-bit segment and all that differ from it in one bit."""
-    return F.concat(F.array(segment), *(F.array(segment.bitwiseXOR(F.lit(1 << i))) for i in range(32)))
 
+def probes(table: DataFrame) -> DataFrame:
+    """table's rows for their own slots, and for all slots that differ in one bit where their own has an even number of ones."""
+    own = F.col("slot")
+    bits = own.bitwiseAND(F.lit(0xFFFFFFFF))
+    ball = F.array(own, *(own.bitwiseXOR(F.lit(1 << i)) for i in range(32)))
+    return table.withColumn("slot", F.explode(F.when(F.bit_count(bits) % 2 == 0, ball).otherwise(F.array(own))))
 
-def differing(a: Column, b: Column) -> Column:
-    """Differing bits of two arrays of longs."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
+def verified(pairs: DataFrame, nodes: DataFrame, indexed: int, most: int) -> DataFrame:
+    """The pairs (u, v) whose checked fingerprints differ in at most ``most`` bits: those after the indexed ones, if there are any."""
+    checked = F.expr(f"slice(fps, {indexed + 1}, size(fps))")
+    n = nodes.select("node", F.when(F.size("fps") > indexed, checked).otherwise(F.col("fps")).alias("fps"))
+    x = pairs.join(n.select(F.col("node").alias("u"), F.col("fps").alias("a")), "u").join(n.select(F.col("node").alias("v"), F.col("fps").alias("b")), "v")
+    bits = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+    return x.where(bits <= most).select("u", "v")
 
-def links(nodes: DataFrame, most: int = 3, most_in_all: int | None = None, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs u < v that join the same nodes as all pairs of near nodes would.
 
-    nodes: node, fps; distinct. Near: in one fingerprint at most ``most`` (at most 3) bits differ, and of all fingerprints'
-    bits at most ``most_in_all``.
+def links(nodes: DataFrame, indexed: int = 1, most: int = 3, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs u < v that join the same nodes as all pairs of near nodes that share a slot, or nearly, would.
+
+    nodes: node, fps; distinct. With one fingerprint and ``most`` up to 3 these are all near pairs.
     """
-    if most > 3:
+    if indexed == 1 and most > 3:
         raise ValueError("two segments with balls of radius 1 find 3 differing bits at most")
-    key = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
-    one = nodes.select("node", "fps", F.posexplode("fps").alias("which", "fp"))
-    halves = F.inline(F.array(*(F.struct((F.col("which") * 2 + i).alias("segment"), k.alias("key")) for i, k in enumerate(key))))
-    table = written(one.select("node", "fps", "fp", halves), "segments")
-    all_of = F.lit(True) if most_in_all is None else differing(F.col("q.fps"), F.col("t.fps")) <= most_in_all
-    near = (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("t.fp"))) <= most) & all_of
-    same = (F.col("q.segment") == F.col("t.segment")) & (F.col("q.key") == F.col("t.key"))
-    pair = [F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v")]
-
-    crowded = written(table.groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n"), *(F.min_by(F.struct("node", "fps", "fp"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(pivots))).where(F.col("n") > hot).drop("n"), "crowded-segments")
+    table = written(slots(nodes, indexed), "slots")
+    both = [F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v")]
+    same = F.col("q.slot") == F.col("t.slot")
+    crowded = written(table.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("slot"), "crowded-slots")
     if crowded.isEmpty():
-        probes = table.select("node", "fps", "fp", "segment", F.explode(ball(F.col("key"))).alias("key"))
-        return probes.alias("q").join(table.alias("t"), same & (F.col("q.node") < F.col("t.node")) & near).select(*pair).distinct()
-
-    # 1. links to the pivots, and the components that they make
-    chosen = crowded.select("segment", "key", F.inline(F.array(*(f"p{i}" for i in range(pivots)))))
-    first = written(table.alias("q").join(chosen.alias("t"), same & (F.col("q.node") != F.col("t.node")) & near).select(*pair).distinct(), "pivot-links")
+        found = probes(table).alias("q").join(table.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
+        return verified(found, nodes, indexed, most)
+
+    # 1. links to pivots, and the components that they make
+    inside = table.join(crowded, "slot", "left_semi")
+    chosen = inside.groupBy("slot").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(pivots)))).alias("p")).select("slot", F.explode("p").alias("node"))
+    first = inside.alias("q").join(chosen.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
+    first = written(verified(first, nodes, indexed, most), "pivot-links")
     part = components(first).withColumnRenamed("node", "member")
-    table = table.join(part, F.col("node") == F.col("member"), "left").select("node", "fps", "fp", "segment", "key", F.coalesce("component", "node").alias("part"))
-    table = written(table, "segments-of-parts")
-    # 2. each crowded bucket's largest component
-    inside = table.join(crowded.select("segment", "key"), ["segment", "key"], "left_semi").groupBy("segment", "key", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = written(inside.groupBy("segment", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main")), "main-parts")
-    table = written(table.join(main, ["segment", "key"], "left").withColumn("in_main", F.coalesce(F.col("part") == F.col("main"), F.lit(False))).drop("main"), "segments-by-part")
-    # 3. everyone is compared with the nodes outside the main parts, and main parts with the nodes of other parts only
-    probes = table.select("node", "fps", "fp", "part", "segment", F.explode(ball(F.col("key"))).alias("key"))
-    apart = same & (F.col("q.part") != F.col("t.part")) & near
-    rare = probes.alias("q").join(table.where("not in_main").alias("t"), apart).select(*pair)
-    others = probes.join(main, ["segment", "key"]).where(F.col("part") != F.col("main")).drop("main")
-    rest = others.alias("q").join(table.where("in_main").alias("t"), apart).select(*pair)
-    return first.unionByName(rare).unionByName(rest).distinct()
-
-
-def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count: int = 1, most_in_all: int | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits each) and component_id (the smallest doc_id that links reach) of every document."""
+    table = written(table.join(part, F.col("node") == F.col("member"), "left").select("node", "slot", F.coalesce("component", "node").alias("part")), "slots-of-parts")
+    # 2. each crowded slot's largest component
+    sizes = table.join(crowded, "slot", "left_semi").groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = written(sizes.groupBy("slot").agg(F.max_by("part", F.struct("n", "part")).alias("main")), "main-parts")
+    marked = table.join(main, "slot", "left")
+    rare, many = marked.where(F.col("main").isNull() | (F.col("part") != F.col("main"))), marked.where(F.col("part") == F.col("main"))
+    # 3. all are compared with the nodes outside the main parts, and main parts with the nodes of other parts only
+    ask = probes(table)
+    apart = same & (F.col("q.part") != F.col("t.part"))
+    strangers = ask.join(main, "slot").where(F.col("part") != F.col("main"))
+    found = ask.alias("q").join(rare.alias("t"), apart).select(*both).unionByName(strangers.alias("q").join(many.alias("t"), apart).select(*both)).distinct()
+    return first.unionByName(verified(found, nodes, indexed, most)).distinct()
+
+
+def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count: int = 0) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits for each that is verified) and component_id (the smallest doc_id that links reach)."""
     own = written(fingerprints(docs, words_in_shingle, count), "fingerprints")
-    per = written(own.groupBy("node", "fps").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
-    member = components(links(per.select("node", "fps"), most, most_in_all)).withColumnRenamed("node", "member")
+    indexed = max(1, count)
+    per = written(own.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("low")), "fingerprint-groups")
+    member = components(links(per.select("node", "fps"), indexed, most)).withColumnRenamed("node", "member")
     least = per.join(member, F.col("node") == F.col("member"), "left").select("node", F.coalesce("component", "node").alias("component"), "low")
     least = written(least, "fingerprint-components")
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(least.join(roots, "component").select("node", "component_id"), "component-names")
-    return own.select("doc_id", "node").join(named, "node").select("doc_id", F.lower(F.hex("node")).alias("fingerprint"), "component_id")
+    shown = F.slice("fps", count + 1, indexed)
+    return own.join(named, "node").select("doc_id", F.lower(F.array_join(F.transform(shown, lambda v: F.lpad(F.hex(v), 16, "0")), "")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words_in_shingle: int = 5, most: int = 3, count: int = 4, most_in_all: int = 40) -> DataFrame:
+def one_of_each(docs: DataFrame, words_in_shingle: int = 5, most: int = 40, count: int = 4) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component (rows repeated in that doc_id stay together).
 
-    The defaults link texts whose 256 bits agree as those of texts do that share 0.8 of their five-word shingles (40 of 256 bits
-    stand for an angle whose cosine is 0.88, the cosine of two such sets). Documents without a doc_id stay only where their
-    component has none with one.
+    Documents without a doc_id stay only where their component has none with one.
     """
-    drop = clustered(docs, words_in_shingle, most, count, most_in_all).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    drop = clustered(docs, words_in_shingle, most, count).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(written(drop, "near-duplicates"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
