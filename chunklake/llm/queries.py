@@ -86,6 +86,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # These tables' conversations have fewer than 256 turns: one block each.
+    "op3_chat_windows": r"""
+        WITH t0 AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        t1 AS (
+          SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+            length('<turn:' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</turn>') + 1 AS size
+          FROM t0),
+        t2 AS (
+          SELECT *, first_value(role) OVER w AS role1, first_value(text) OVER w AS text1, first_value(size) OVER w AS size1,
+            row_number() OVER w AS place, coalesce(sum(tokens) OVER b, 0) // 192 AS cell, count(*) FILTER (WHERE tokens > 192) OVER w AS alone, tokens > 192 AS own
+          FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING),
+            b AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t3 AS (
+          SELECT *, place = 1 OR (lag(cell) OVER w, lag(alone) OVER w, lag(own) OVER w) <> (cell, alone, own) AS opens,
+            lag(tokens) OVER w AS n1, lag(tokens, 2) OVER w AS n2, lag(size) OVER w AS s1, lag(size, 2) OVER w AS s2,
+            lag(role) OVER w = 'system' AND lag(text) OVER w = text1 AND role1 = 'system' AS f1,
+            lag(role, 2) OVER w = 'system' AND lag(text, 2) OVER w = text1 AND role1 = 'system' AS f2
+          FROM t2 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        t4 AS (SELECT *, opens AND place > 1 AND NOT f1 AND n1 <= 96 AS b1 FROM t3),
+        t5 AS (SELECT *, b1 AND place > 2 AND NOT f2 AND n1 + n2 <= 96 AS b2 FROM t4)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(size + CASE WHEN opens AND place > 1 AND role1 = 'system' THEN size1 ELSE 0 END + CASE WHEN b1 THEN s1 ELSE 0 END + CASE WHEN b2 THEN s2 ELSE 0 END) AS BIGINT) AS formatted_chars,
+          count(*) FILTER (WHERE opens) AS n_windows
+        FROM t5 GROUP BY conv_id""",
+    "op10_suffix_radix": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d),
+        w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS x FROM p),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS low FROM w) WHERE low < doc_id),
+        o AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS opens FROM r),
+        g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, run),
+        k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS low FROM s),
+        h AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS n, max(z) AS tail, list(struct_pack(low := low, a := a) ORDER BY a) AS pieces FROM k GROUP BY doc_id)
+        SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+          sha256(CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(pieces, lambda q: CASE WHEN q.a > q.low THEN array_slice(b, q.low, q.a - 1) ELSE ''::BLOB END), lambda u, v: u || v)
+            || CASE WHEN tail <= octet_length(b) THEN array_slice(b, tail, octet_length(b)) ELSE ''::BLOB END END) AS kept_sha256
+        FROM d LEFT JOIN h USING (doc_id)""",
     "op4_digest_index": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
