@@ -272,7 +272,7 @@ query("comp_id_unpack", "SELECT gen, CAST(gen % 256 AS INT) AS comp_id, CAST(gen
 )
 query("codec_dispatch", "SELECT gen, CASE gen % 2 WHEN 0 THEN 'none' ELSE 'zstd' END AS codec FROM rec")(lambda v: v.rec.select("gen", X.codec_name((F.col("gen") % 2).cast("int")).alias("codec")))
 query("varint_len", "SELECT gen, CASE WHEN plen < 128 THEN 1 WHEN plen < 16384 THEN 2 ELSE 3 END AS n FROM rec")(lambda v: v.rec.select("gen", X.varint_length(F.col("plen")).alias("n")))
-query("human_bytes", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024) ELSE printf('%.1f MiB', n / 1048576) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec WHERE gen % 7 = 0 AND plen * gen < 1073741824)")(
+query("human_bytes", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec WHERE gen % 7 = 0 AND plen * gen < 1073741824)")(
     lambda v: v.rec.where("gen % 7 = 0 and plen * gen < 1073741824").select("gen", X.human_bytes(F.col("plen") * F.col("gen")).alias("shown"))
 )
 query("cache_sim", None)(lambda v: X.simulated_cache(v.seg.select("gen", "seg", "rb"), 64 * SEGMENT))
