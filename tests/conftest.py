@@ -10,7 +10,6 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -5,10 +5,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import oracle
+from oracle import SMALL
 
 from chunklake.plans.queries import ORACLES, QUERIES
 
-from conftest import SMALL
 
 
 @pytest.fixture(scope="module")
