@@ -6,9 +6,11 @@ of the segments: so the Hamming ball of radius 1 is enumerated in each segment,
 fetched, and each match is verified over all bits. Of two segments that differ in one bit, one has an even number of ones:
 only these enumerate their ball, the others are looked up.
 
-``one_of_each`` finds near copies at a similarity, not at a distance: it indexes four fingerprints of the text's set of words
-(eight segments; 15 of 256 bits are always found, more with high probability) and verifies four fingerprints of its
-five-word shingles: 40 of 256 bits stand for an angle whose cosine is 0.88, that of sets which share 0.8 of their shingles.
+``one_of_each`` finds near copies at a similarity, not at a distance: it indexes four fingerprints of the text's five-word
+shingles (eight segments) and verifies all their bits: 40 of 256 stand for an angle whose cosine is 0.88, that of sets which share
+0.8 of their shingles. Texts that differ in 15 bits or fewer are always found, others with a probability that falls with their
+similarity (about 0.95 for 0.95, 0.7 for 0.9, 0.25 for 0.8). An index of shorter shingles would find more of the latter, at the price of
+a number of candidates that grows with the square of a group of loosely similar texts.
 
 A bucket of the table may hold very many different near copies, of which not all pairs are made and none is lost. In
 buckets of more than HOT nodes each node is first compared with PIVOTS nodes of the bucket; what they link is contracted to
@@ -84,31 +86,24 @@ def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42, c
     return majority(shingles(words_of(text), words_in_shingle), seed, count)
 
 
-def index_and_check(text: bytes | None, words_in_shingle: int, count: int) -> np.ndarray:
-    """``count`` fingerprints of the set of words, then as many of the shingles."""
-    words = words_of(text)
-    return np.concatenate([majority(sorted(set(words)), 7, count), majority(shingles(words, words_in_shingle), 42, count)])
-
-
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 0) -> DataFrame:
-    """doc_id, node and fps: one fingerprint, which is the node; or, with a count, so many of the words' set and of
-    the shingles, and a 64-bit code of them all as the node."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 1) -> DataFrame:
+    """doc_id, fps and node: the fingerprint if there is one, else a 64-bit code of them all."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for c in chunks(iter([b])):
                 texts = c.column(1).to_pylist()
-                fps = [(index_and_check(t, words_in_shingle, count) if count else fingerprint(t, words_in_shingle)).view(np.int64).tolist() for t in texts]
+                fps = [fingerprint(t, words_in_shingle, count=count).view(np.int64).tolist() for t in texts]
                 yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, fps array<long>")
-    return x.select("doc_id", (F.xxhash64("fps") if count else F.get("fps", F.lit(0))).alias("node"), "fps")
+    return x.select("doc_id", (F.xxhash64("fps") if count > 1 else F.get("fps", F.lit(0))).alias("node"), "fps")
 
 
-def slots(nodes: DataFrame, indexed: int) -> DataFrame:
-    """node and slot: the number of a segment (high half) and its 32 bits (low half), two for each indexed fingerprint."""
+def slots(nodes: DataFrame, count: int) -> DataFrame:
+    """node and slot: the number of a segment (high half) and its 32 bits (low half), two for each fingerprint."""
     halves = []
-    for i in range(indexed):
+    for i in range(count):
         fp = F.get("fps", F.lit(i))
         for j, half in enumerate((fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))):
             halves.append(half.bitwiseOR(F.lit((2 * i + j) << 32)))
@@ -123,35 +118,33 @@ def probes(table: DataFrame) -> DataFrame:
     return table.withColumn("slot", F.explode(F.when(F.bit_count(bits) % 2 == 0, ball).otherwise(F.array(own))))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, indexed: int, most: int) -> DataFrame:
-    """The pairs (u, v) whose checked fingerprints differ in at most ``most`` bits: those after the indexed ones, if there are any."""
-    checked = F.expr(f"slice(fps, {indexed + 1}, size(fps))")
-    n = nodes.select("node", F.when(F.size("fps") > indexed, checked).otherwise(F.col("fps")).alias("fps"))
-    x = pairs.join(n.select(F.col("node").alias("u"), F.col("fps").alias("a")), "u").join(n.select(F.col("node").alias("v"), F.col("fps").alias("b")), "v")
+def verified(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs (u, v) whose fingerprints differ in at most ``most`` bits."""
+    x = pairs.join(nodes.select(F.col("node").alias("u"), F.col("fps").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("fps").alias("b")), "v")
     bits = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
     return x.where(bits <= most).select("u", "v")
 
 
-def links(nodes: DataFrame, indexed: int = 1, most: int = 3, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
+def links(nodes: DataFrame, count: int = 1, most: int = 3, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
     """Pairs u < v that join the same nodes as all pairs of near nodes that share a slot, or nearly, would.
 
     nodes: node, fps; distinct. With one fingerprint and ``most`` up to 3 these are all near pairs.
     """
-    if indexed == 1 and most > 3:
+    if count == 1 and most > 3:
         raise ValueError("two segments with balls of radius 1 find 3 differing bits at most")
-    table = written(slots(nodes, indexed), "slots")
+    table = written(slots(nodes, count), "slots")
     both = [F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v")]
     same = F.col("q.slot") == F.col("t.slot")
     crowded = written(table.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("slot"), "crowded-slots")
     if crowded.isEmpty():
         found = probes(table).alias("q").join(table.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
-        return verified(found, nodes, indexed, most)
+        return verified(found, nodes, most)
 
     # 1. links to pivots, and the components that they make
     inside = table.join(crowded, "slot", "left_semi")
     chosen = inside.groupBy("slot").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(pivots)))).alias("p")).select("slot", F.explode("p").alias("node"))
     first = inside.alias("q").join(chosen.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
-    first = written(verified(first, nodes, indexed, most), "pivot-links")
+    first = written(verified(first, nodes, most), "pivot-links")
     part = components(first).withColumnRenamed("node", "member")
     table = written(table.join(part, F.col("node") == F.col("member"), "left").select("node", "slot", F.coalesce("component", "node").alias("part")), "slots-of-parts")
     # 2. each crowded slot's largest component
@@ -164,21 +157,19 @@ def links(nodes: DataFrame, indexed: int = 1, most: int = 3, hot: int = HOT, piv
     apart = same & (F.col("q.part") != F.col("t.part"))
     strangers = ask.join(main, "slot").where(F.col("part") != F.col("main"))
     found = ask.alias("q").join(rare.alias("t"), apart).select(*both).unionByName(strangers.alias("q").join(many.alias("t"), apart).select(*both)).distinct()
-    return first.unionByName(verified(found, nodes, indexed, most)).distinct()
+    return first.unionByName(verified(found, nodes, most)).distinct()
 
 
-def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count: int = 0) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits for each that is verified) and component_id (the smallest doc_id that links reach)."""
+def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count: int = 1) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits each) and component_id (the smallest doc_id that links reach)."""
     own = written(fingerprints(docs, words_in_shingle, count), "fingerprints")
-    indexed = max(1, count)
     per = written(own.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("low")), "fingerprint-groups")
-    member = components(links(per.select("node", "fps"), indexed, most)).withColumnRenamed("node", "member")
+    member = components(links(per.select("node", "fps"), count, most)).withColumnRenamed("node", "member")
     least = per.join(member, F.col("node") == F.col("member"), "left").select("node", F.coalesce("component", "node").alias("component"), "low")
     least = written(least, "fingerprint-components")
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(least.join(roots, "component").select("node", "component_id"), "component-names")
-    shown = F.slice("fps", count + 1, indexed)
-    return own.join(named, "node").select("doc_id", F.lower(F.array_join(F.transform(shown, lambda v: F.lpad(F.hex(v), 16, "0")), "")).alias("fingerprint"), "component_id")
+    return own.join(named, "node").select("doc_id", F.lower(F.array_join(F.transform("fps", lambda v: F.lpad(F.hex(v), 16, "0")), "")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words_in_shingle: int = 5, most: int = 40, count: int = 4) -> DataFrame:
