@@ -100,14 +100,14 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 1) ->
     return x.select("doc_id", (F.xxhash64("fps") if count > 1 else F.get("fps", F.lit(0))).alias("node"), "fps")
 
 
-def slots(nodes: DataFrame, count: int) -> DataFrame:
-    """node and slot: the number of a segment (high half) and its 32 bits (low half), two for each fingerprint."""
+def slots(nodes: DataFrame, count: int, *others: str) -> DataFrame:
+    """node, slot and other columns; slot: the number of a segment (high half) and its 32 bits (low half), two for each fingerprint."""
     halves = []
     for i in range(count):
         fp = F.get("fps", F.lit(i))
         for j, half in enumerate((fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))):
             halves.append(half.bitwiseOR(F.lit((2 * i + j) << 32)))
-    return nodes.select("node", F.explode(F.array(*halves)).alias("slot"))
+    return nodes.select("node", *others, F.explode(F.array(*halves)).alias("slot"))
 
 
 def probes(table: DataFrame) -> DataFrame:
@@ -146,7 +146,8 @@ def links(nodes: DataFrame, count: int = 1, most: int = 3, hot: int = HOT, pivot
     first = inside.alias("q").join(chosen.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
     first = written(verified(first, nodes, most), "pivot-links")
     part = components(first).withColumnRenamed("node", "member")
-    table = written(table.join(part, F.col("node") == F.col("member"), "left").select("node", "slot", F.coalesce("component", "node").alias("part")), "slots-of-parts")
+    parted = nodes.join(part, F.col("node") == F.col("member"), "left").select("node", "fps", F.coalesce("component", "node").alias("part"))
+    table = written(slots(parted, count, "part"), "slots-of-parts")
     # 2. each crowded slot's largest component
     sizes = table.join(crowded, "slot", "left_semi").groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"))
     main = written(sizes.groupBy("slot").agg(F.max_by("part", F.struct("n", "part")).alias("main")), "main-parts")
