@@ -17,6 +17,8 @@ Each task sorts its own chunk first in the same way, as a partial step before th
 the chunk has is settled there, and only the others' pieces are sent. So a passage that all documents share arrives once
 per chunk. What is found are spans (start, number of windows) of a document; they meet their text by (doc_id, hash of text).
 
+The anchors are taken up in TURNS turns by their hash, one after another, so that only one turn's pieces are on disk at a time.
+
 Memory: CHUNK bytes of text with some arrays of eight bytes per byte; in the second pass a part of about ``part_bytes`` of text,
 expanded STEP windows at a time. The number of parts follows the input's size.
 
@@ -44,6 +46,7 @@ WINDOW, RUN = 50, 16
 CHUNK = 3 << 20
 CACHED = 96 << 10
 STEP = 1 << 18
+TURNS = 2
 NO_ID = 2**63 - 1
 PARTS = "part int, doc_id long, h long, spans binary, payload binary"
 SPANS = "doc_id long, h long, spans binary"
@@ -191,12 +194,15 @@ def spans_of(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(owner[a]), runs[a:b].tobytes()
 
 
-def sent(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], parts: int) -> Iterator[tuple]:
-    """A chunk's rows: spans that it settles itself, and for each part the pieces that others must see."""
+def sent(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], parts: int, turn: int = 0, turns: int = 1) -> Iterator[tuple]:
+    """A chunk's rows: spans that it settles itself, and for each part the pieces that others must see; anchors of one turn only."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
     starts = ends - np.array([len(t) for t in texts], np.int64)
     first, count, place, code = all_pieces(data, starts, ends)
+    if turns > 1:
+        own = (code >> np.uint64(40)) % np.uint64(turns) == turn
+        first, count, place, code = first[own], count[own], place[own], code[own]
     if not len(first):
         return
     owner = np.searchsorted(ends, first, side="right")
@@ -261,7 +267,7 @@ def received(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         yield int(ids[k]), int(hashes[k]), spans
 
 
-def _mapper(parts: int):
+def _mapper(parts: int, turn: int, turns: int):
     names = [c.split()[0] for c in PARTS.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
@@ -273,12 +279,12 @@ def _mapper(parts: int):
         for b in rows:
             for c in chunks(iter([b]), 2):
                 if held and size + c.column(2).nbytes > CHUNK:
-                    if out := list(sent(*_columns(held), parts)):
+                    if out := list(sent(*_columns(held), parts, turn, turns)):
                         yield table(out)
                     held, size = [], 0
                 held += zip(*(v.to_pylist() for v in c.columns), strict=True)
                 size += c.column(2).nbytes
-        if held and (out := list(sent(*_columns(held), parts))):
+        if held and (out := list(sent(*_columns(held), parts, turn, turns))):
             yield table(out)
 
     return batches
@@ -305,14 +311,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, part_bytes: int = 8 << 20, turns: int = TURNS) -> DataFrame:
     """doc_id, h and the list of spans of all documents that lose text; one row per document and text."""
     x = keyed(docs)
     total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    pieces_of = x.where(F.octet_length("text") >= WINDOW).mapInArrow(_mapper(parts), PARTS)
-    found = pieces_of.groupBy("part").applyInArrow(_reducer, SPANS)
-    found = written(found, "repeat-spans")  # the pieces' shuffle files go as soon as this is written
+    parts = max(1, -(-total // (part_bytes * turns)))
+    long = x.where(F.octet_length("text") >= WINDOW)
+    found = None
+    for turn in range(turns):
+        own = long.mapInArrow(_mapper(parts, turn, turns), PARTS).groupBy("part").applyInArrow(_reducer, SPANS)
+        own = written(own, "repeat-spans")  # the turn's shuffle files go as soon as this is written
+        found = own if found is None else found.unionByName(own)
     return found.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -334,7 +343,7 @@ def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(s, (F.col("doc_id") == F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
 
 
-def removals(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
+def removals(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +360,7 @@ def removals(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     return x.mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs with their texts cut."""
     schema = docs.schema
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
