@@ -1,0 +1,205 @@
+"""All pairs of texts whose sets of shingles have a Jaccard similarity of 0.8 (NUM / DEN) or more: none is lost, none is below.
+
+A shingle is a 64-bit code of neighbouring words in lower case; fewer words than a shingle are one shingle. Texts with equal sets
+are one node. In any one order of all shingles, two sets of a similarity of 0.8 share LEAST shingles (or, of short texts, 0.8 of
+the set) among the first 0.2 n + LEAST of each. So only these are shuffled, and pairs that share enough of them, are near enough
+in size and can still reach 0.8 behind the first shared one are compared in whole sets.
+
+The order puts shingles that are rare in the table first. It comes from a table of COUNTERS counters, added up over all texts, in
+logarithmic steps: shingles that share a counter count as more common than they are, which costs time and no pair.
+
+Slots (shingles) of more than HOT nodes are contracted first, as in ``simhash``: their nodes are compared with PIVOTS of them,
+what that links becomes a part, and only nodes of different parts are compared further. The links that come out are not all
+links then, but they reach exactly the same texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from chunklake.llm.common import plain, written
+from chunklake.llm.components import components
+from chunklake.llm.tokens import chunks
+
+NUM, DEN = 4, 5
+LEAST = 16
+COUNTERS, BLOCK = 1 << 22, 1 << 16
+HOT, PIVOTS = 32, 8
+
+
+def text_hash() -> Column:
+    """What tells a row's text from others (null is empty)."""
+    return F.xxhash64(plain(F.col("text")).cast("binary"))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _fold(words: np.ndarray, size: int) -> np.ndarray:
+    n = len(words) - size + 1
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    return h
+
+
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """The codes of each text's shingles, distinct and ascending."""
+    per = [(t or b"").lower().split() for t in texts]
+    known = {w: xxhash.xxh64_intdigest(w) for w in {w for x in per for w in x}}
+    flat = np.array([known[w] for x in per for w in x], np.uint64)
+    codes = _fold(flat, size) if len(flat) >= size else flat[:0]
+    out, at = [], 0
+    for x in per:
+        own = codes[at : at + len(x) - size + 1] if len(x) >= size else _fold(flat[at : at + len(x)], len(x)) if x else codes[:0]
+        out.append(np.unique(own))
+        at += len(x)
+    return out
+
+
+def node_of(codes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(codes.tobytes()) - (1 << 63)
+
+
+def _scanned(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, h and node of each row, and the tasks' counters (block, counts) with a null h."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts, any_row = ["doc_id", "h", "node", "block", "counts"], np.zeros(COUNTERS, np.int64), False
+        for b in rows:
+            for c in chunks(iter([b]), 2):
+                sets = shingle_sets(c.column(2).to_pylist(), size)
+                counts += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                n, any_row = c.num_rows, True
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        for k in range(COUNTERS // BLOCK if any_row else 0):
+            own = np.minimum(counts[k * BLOCK : (k + 1) * BLOCK], 65535).astype(np.uint16).tobytes()
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int32()), pa.array([own], pa.binary())], names)
+
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
+    return x.mapInArrow(batches, "doc_id long, h long, node long, block int, counts binary")
+
+
+def _ranks(scanned: DataFrame) -> np.ndarray:
+    """How common the shingles of each counter are, in steps of an eighth of a doubling."""
+
+    def added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block = np.zeros(BLOCK, np.int64), None
+        for b in group:
+            for k, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                block = k
+                total += np.frombuffer(own, np.uint16)
+        rank = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rank], pa.binary())], ["block", "rank"])
+
+    rows = scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(added, "block int, rank binary").collect()
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in rows:
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.rank), np.uint8)
+    return out
+
+
+def _prefixes(docs: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
+    """node, n (its shingles), slot and at (from 0): the first shingles of each set; a node comes once from each task that has it."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in rows:
+            for c in chunks(iter([b]), 0):
+                nodes, sizes, slots, places = [], [], [], []
+                for s in shingle_sets(c.column(0).to_pylist(), size):
+                    node, n = node_of(s), len(s)
+                    if not n or node in seen:
+                        continue
+                    seen.add(node)
+                    need = -(-n * NUM // DEN)
+                    first = n - need + min(LEAST, need)
+                    order = np.argsort(ranks[s % np.uint64(COUNTERS)], kind="stable")[:first]
+                    nodes.append(np.full(first, node, np.int64))
+                    sizes.append(np.full(first, n, np.int32))
+                    slots.append(s[order].view(np.int64))
+                    places.append(np.arange(first, dtype=np.int32))
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, sizes, slots, places)], ["node", "n", "slot", "at"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(batches, "node long, n int, slot long, at int")
+
+
+def _candidates(q: DataFrame, t: DataFrame, *apart: Column) -> DataFrame:
+    """u < v, the number of slots that they share, what they can share from the first (most) and the last of them on (rest), and sizes."""
+    on = (F.col("q.slot") == F.col("t.slot")) & (F.col("q.node") != F.col("t.node"))
+    for c in apart:
+        on &= c
+    low, high = F.least("q.n", "t.n").cast("long"), F.greatest("q.n", "t.n").cast("long")
+    # what the sets can share from this slot on
+    reach = F.least(F.col("q.n") - F.col("q.at"), F.col("t.n") - F.col("t.at")).cast("long")
+    x = q.alias("q").join(t.alias("t"), on & (DEN * low >= NUM * high))
+    x = x.select(F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v"), reach.alias("reach"), low.alias("low"), (low + high).alias("both"))
+    return x.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.max("reach").alias("most"), F.min("reach").alias("rest"), F.first("low").alias("low"), F.first("both").alias("both")).where((NUM + DEN) * F.col("most") >= NUM * F.col("both"))
+
+
+def _enough() -> Column:
+    """Of pairs with all slots that they share: there are enough of them, and enough can follow the last one."""
+    return (F.col("shared") >= F.least(F.lit(LEAST), F.ceil(F.col("low") * NUM / DEN))) & ((NUM + DEN) * (F.col("shared") - 1 + F.col("rest")) >= NUM * F.col("both"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, size: int) -> DataFrame:
+    """The pairs whose whole sets are near. one: a text's hash h of each node."""
+    pairs = written(pairs.select("u", "v"), "pairs")
+    members = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = written(one.join(members, "node").select("h"), "pair-texts")
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in rows:
+            for c in chunks(iter([b]), 0):
+                own = {node_of(s): s for s in shingle_sets(c.column(0).to_pylist(), size)}
+                new = [k for k in own if k not in seen]
+                seen.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[k].view(np.int64) for k in new], pa.list_(pa.int64()))], ["node", "codes"])
+
+    texts = docs.select(text_hash().alias("h"), F.col("text").cast("binary").alias("text")).join(wanted, "h", "left_semi").select("text")
+    sets = written(texts.mapInArrow(batches, "node long, codes array<long>").dropDuplicates(["node"]), "pair-sets")
+    x = pairs.join(sets.select(F.col("node").alias("u"), F.col("codes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("codes").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b")).cast("long")
+    return x.where((NUM + DEN) * shared >= NUM * (F.size("a").cast("long") + F.size("b"))).select("u", "v")
+
+
+def near_links(docs: DataFrame, size: int = 5, hot: int = HOT, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, node of each row; pairs u < v of nodes that join what all near pairs would)."""
+    scanned = written(_scanned(docs, size), "scanned")
+    own = scanned.where("block is null").select("doc_id", "h", "node")
+    one = own.groupBy("node").agg(F.min("h").alias("h"))
+    slot = W.partitionBy("slot")
+    table = _prefixes(docs, _ranks(scanned), size).withColumns({"low": F.min("node").over(slot), "high": F.max("node").over(slot)})
+    table = written(table.where("low <> high").select("node", "n", "slot", "at").dropDuplicates(["slot", "node"]), "shared-slots")
+    crowded = written(table.groupBy("slot").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("slot"), "crowded-slots")
+    if crowded.isEmpty():
+        return own, _verified(_candidates(table, table, F.col("q.node") < F.col("t.node")).where(_enough()), docs, one, size)
+
+    # 1. links to pivots, and the components that they make
+    inside = table.join(crowded, "slot", "left_semi")
+    chosen = inside.groupBy("slot").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(i))) for i in range(pivots)))).alias("p")).select("slot", F.inline("p"))
+    first = written(_verified(_candidates(inside, chosen), docs, one, size), "pivot-links")
+    part = components(first).withColumnRenamed("node", "member")
+    parted = table.join(part, F.col("node") == F.col("member"), "left").select("node", "n", "slot", "at", F.coalesce("component", "node").alias("part"))
+    parted = written(parted, "slots-of-parts")
+    # 2. of a slot, all are compared with the nodes outside its largest part, if they are of another part
+    sizes = parted.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("k"))
+    main = written(sizes.groupBy("slot").agg(F.max_by("part", F.struct("k", "part")).alias("main")), "main-parts")
+    marked = parted.join(main, "slot").withColumn("rare", F.col("part") != F.col("main"))
+    once = ~F.col("q.rare") | (F.col("q.node") < F.col("t.node"))
+    found = _candidates(marked, marked.where("rare"), F.col("q.part") != F.col("t.part"), once).where(_enough())
+    return own, first.unionByName(_verified(found, docs, one, size)).distinct()

@@ -6,11 +6,7 @@ of the segments: so the Hamming ball of radius 1 is enumerated in each segment,
 fetched, and each match is verified over all bits. Of two segments that differ in one bit, one has an even number of ones:
 only these enumerate their ball, the others are looked up.
 
-``one_of_each`` finds near copies at a similarity, not at a distance: it indexes four fingerprints of the text's five-word
-shingles (eight segments) and verifies all their bits: 40 of 256 stand for an angle whose cosine is 0.88, that of sets which share
-0.8 of their shingles. Texts that differ in 15 bits or fewer are always found, others with a probability that falls with their
-similarity (about 0.95 for 0.95, 0.7 for 0.9, 0.25 for 0.8). An index of shorter shingles would find more of the latter, at the price of
-a number of candidates that grows with the square of a group of loosely similar texts.
+``one_of_each`` finds near copies at a similarity, not at a distance: ``shingle_join`` makes the links, complete and exact.
 
 A bucket of the table may hold very many different near copies, of which not all pairs are made and none is lost. In
 buckets of more than HOT nodes each node is first compared with PIVOTS nodes of the bucket; what they link is contracted to
@@ -35,6 +31,7 @@ from pyspark.sql import functions as F
 
 from chunklake.llm.common import written
 from chunklake.llm.components import components
+from chunklake.llm.shingle_join import near_links
 from chunklake.llm.tokens import chunks
 
 BITS = 64
@@ -173,10 +170,15 @@ def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count:
     return own.join(named, "node").select("doc_id", F.lower(F.array_join(F.transform("fps", lambda v: F.lpad(F.hex(v), 16, "0")), "")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words_in_shingle: int = 5, most: int = 40, count: int = 4) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component (rows repeated in that doc_id stay together).
+def one_of_each(docs: DataFrame, words_in_shingle: int = 5) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component of near copies (rows repeated in that doc_id stay together).
 
-    Documents without a doc_id stay only where their component has none with one.
+    Near copies share 0.8 of their shingles or more. Documents without a doc_id stay only where their component has none with one.
     """
-    drop = clustered(docs, words_in_shingle, most, count).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    own, pairs = near_links(docs, words_in_shingle)
+    member = components(pairs).withColumnRenamed("node", "member")
+    named = own.join(member, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    named = written(named, "near-components")
+    roots = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    drop = named.join(roots, "component").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(written(drop, "near-duplicates"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
