@@ -241,6 +241,8 @@ def _finder(index: Index, threshold: float, overlap: float, part_overlap: float)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is in no leak."""
-    gone = written(leaks(docs, items, **options).select(F.col("doc_id").alias("gone")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """The rows of docs whose text holds no item, whatever their doc_id."""
+    h = F.xxhash64(plain(F.col("text")).cast("binary"))
+    found = leaks(docs.select(h.alias("doc_id"), "text"), items, **options)  # a leak depends on the text alone
+    gone = written(found.select(F.col("doc_id").alias("gone")).distinct(), "leaks")
+    return docs.join(gone, h == F.col("gone"), "left_anti")

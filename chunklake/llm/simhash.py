@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chunklake.llm.common import written
 from chunklake.llm.components import components
-from chunklake.llm.shingle_join import near_links
+from chunklake.llm.shingle_join import near_links, text_hash
 from chunklake.llm.tokens import chunks
 
 BITS = 64
@@ -171,14 +171,22 @@ def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count:
 
 
 def one_of_each(docs: DataFrame, words_in_shingle: int = 5) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component of near copies (rows repeated in that doc_id stay together).
+    """The rows of docs with the smallest doc_id of their component of near copies (copies within that doc_id stay together).
 
-    Near copies share 0.8 of their shingles or more. Documents without a doc_id stay only where their component has none with one.
+    Near copies share 0.8 of their shingles or more. What is decided holds for a doc_id and a text: others of that doc_id are not
+    touched. Of a component without any doc_id one row stays; rows without a doc_id go where their component has one.
     """
     own, pairs = near_links(docs, words_in_shingle)
     member = components(pairs).withColumnRenamed("node", "member")
-    named = own.join(member, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    named = own.join(member, F.col("node") == F.col("member"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
     named = written(named, "near-components")
-    roots = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    drop = named.join(roots, "component").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(written(drop, "near-duplicates"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    roots = named.groupBy("component").agg(F.min("doc_id").alias("least"), F.min("h").alias("low"))
+    stays = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("least").isNotNull() | (F.col("h") == F.col("low")))
+    drop = named.join(roots, "component").where(~stays).select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
+    drop = written(drop, "near-duplicates")
+    key = F.col("doc_id").cast("long")
+    kept = docs.join(drop, key.eqNullSafe(F.col("gone")) & (text_hash() == F.col("gone_h")), "left_anti")
+    # without a doc_id: of a component only the copies of one text are left
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    single = kept.where(key.isNull()).groupBy(text_hash().alias("_text")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return kept.where(key.isNotNull()).unionByName(single.select("_row.*"))
