@@ -275,5 +275,8 @@ query("varint_len", "SELECT gen, CASE WHEN plen < 128 THEN 1 WHEN plen < 16384 T
 query("human_bytes", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec WHERE gen % 7 = 0 AND plen * gen < 1073741824)")(
     lambda v: v.rec.where("gen % 7 = 0 and plen * gen < 1073741824").select("gen", X.human_bytes(F.col("plen") * F.col("gen")).alias("shown"))
 )
+query("human_bytes_log", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE printf('%.1f GiB', floor(n / 1073741824 * 10 + 0.5) / 10) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec)")(
+    lambda v: v.rec.select("gen", X.human_bytes(F.col("plen") * F.col("gen")).alias("shown"))
+)
 query("cache_sim", None)(lambda v: X.simulated_cache(v.seg.select("gen", "seg", "rb"), 64 * SEGMENT))
 query("codec_ratio", None)(lambda v: X.codec_ratios(v.rec))
