@@ -29,9 +29,11 @@ from chunklake.llm.components import components
 from chunklake.llm.tokens import chunks
 
 NUM, DEN = 4, 5
-LEAST = 16
+LEAST = 4
+#: Bits of a shingle's code that make its slot; shingles that meet in a slot cost a comparison and no pair.
+SLOT = np.uint64((1 << 40) - 1)
 COUNTERS, BLOCK = 1 << 22, 1 << 16
-HOT, PIVOTS = 32, 8
+HOT, PIVOTS, ROUNDS = 32, 8, 2
 
 
 def text_hash() -> Column:
@@ -128,7 +130,7 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
                     order = np.argsort(ranks[s % np.uint64(COUNTERS)], kind="stable")[:first]
                     nodes.append(np.full(first, node, np.int64))
                     sizes.append(np.full(first, n, np.int32))
-                    slots.append(s[order].view(np.int64))
+                    slots.append((s[order] & SLOT).view(np.int64))
                     places.append(np.arange(first, dtype=np.int32))
                 if nodes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, sizes, slots, places)], ["node", "n", "slot", "at"])
@@ -137,21 +139,18 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
 
 
 def _candidates(q: DataFrame, t: DataFrame, *apart: Column) -> DataFrame:
-    """u < v, the number of slots that they share, what they can share from the first (most) and the last of them on (rest), and sizes."""
+    """u < v, the number of slots that they share where it counts (shared), and how many are needed."""
     on = (F.col("q.slot") == F.col("t.slot")) & (F.col("q.node") != F.col("t.node"))
     for c in apart:
         on &= c
     low, high = F.least("q.n", "t.n").cast("long"), F.greatest("q.n", "t.n").cast("long")
-    # what the sets can share from this slot on
+    # What the sets can share from this slot on: all that a near pair shares at the first one, less by one at each of the next.
     reach = F.least(F.col("q.n") - F.col("q.at"), F.col("t.n") - F.col("t.at")).cast("long")
-    x = q.alias("q").join(t.alias("t"), on & (DEN * low >= NUM * high))
-    x = x.select(F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v"), reach.alias("reach"), low.alias("low"), (low + high).alias("both"))
-    return x.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.max("reach").alias("most"), F.min("reach").alias("rest"), F.first("low").alias("low"), F.first("both").alias("both")).where((NUM + DEN) * F.col("most") >= NUM * F.col("both"))
-
-
-def _enough() -> Column:
-    """Of pairs with all slots that they share: there are enough of them, and enough can follow the last one."""
-    return (F.col("shared") >= F.least(F.lit(LEAST), F.ceil(F.col("low") * NUM / DEN))) & ((NUM + DEN) * (F.col("shared") - 1 + F.col("rest")) >= NUM * F.col("both"))
+    counts = (NUM + DEN) * (reach + LEAST - 1) >= NUM * (low + high)
+    x = q.alias("q").join(t.alias("t"), on & (DEN * low >= NUM * high) & counts)
+    can = (NUM + DEN) * reach >= NUM * (low + high)
+    x = x.select(F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v"), can.alias("can"), F.least(F.lit(LEAST), F.ceil(low * NUM / DEN)).alias("need"))
+    return x.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.max("can").alias("can"), F.first("need").alias("need")).where("can")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, size: int) -> DataFrame:
@@ -184,22 +183,27 @@ def near_links(docs: DataFrame, size: int = 5, hot: int = HOT, pivots: int = PIV
     one = own.groupBy("node").agg(F.min("h").alias("h"))
     slot = W.partitionBy("slot")
     table = _prefixes(docs, _ranks(scanned), size).withColumns({"low": F.min("node").over(slot), "high": F.max("node").over(slot)})
-    table = written(table.where("low <> high").select("node", "n", "slot", "at").dropDuplicates(["slot", "node"]), "shared-slots")
+    table = written(table.where("low <> high").select("node", "n", "slot", "at").dropDuplicates(["slot", "node", "at"]), "shared-slots")
+    enough = F.col("shared") >= F.col("need")
     crowded = written(table.groupBy("slot").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("slot"), "crowded-slots")
     if crowded.isEmpty():
-        return own, _verified(_candidates(table, table, F.col("q.node") < F.col("t.node")).where(_enough()), docs, one, size)
+        return own, _verified(_candidates(table, table, F.col("q.node") < F.col("t.node")).where(enough), docs, one, size)
 
     # 1. links to pivots, and the components that they make
-    inside = table.join(crowded, "slot", "left_semi")
-    chosen = inside.groupBy("slot").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(i))) for i in range(pivots)))).alias("p")).select("slot", F.inline("p"))
-    first = written(_verified(_candidates(inside, chosen), docs, one, size), "pivot-links")
-    part = components(first).withColumnRenamed("node", "member")
-    parted = table.join(part, F.col("node") == F.col("member"), "left").select("node", "n", "slot", "at", F.coalesce("component", "node").alias("part"))
-    parted = written(parted, "slots-of-parts")
+    first, parted = None, table.withColumn("part", F.col("node"))
+    for k in range(ROUNDS):
+        inside = parted.join(crowded, "slot", "left_semi")
+        best = (F.min_by(F.struct("node", "n", "at", "part"), F.xxhash64("node", F.lit(k * pivots + i))) for i in range(pivots))
+        chosen = inside.groupBy("slot").agg(F.array_distinct(F.array(*best)).alias("p")).select("slot", F.inline("p"))
+        more = _verified(_candidates(inside, chosen, F.col("q.part") != F.col("t.part")), docs, one, size)
+        first = written(more if first is None else first.unionByName(more), "pivot-links")
+        part = components(first).withColumnRenamed("node", "member")
+        parted = table.join(part, F.col("node") == F.col("member"), "left").select("node", "n", "slot", "at", F.coalesce("component", "node").alias("part"))
+        parted = written(parted, "slots-of-parts")
     # 2. of a slot, all are compared with the nodes outside its largest part, if they are of another part
     sizes = parted.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("k"))
     main = written(sizes.groupBy("slot").agg(F.max_by("part", F.struct("k", "part")).alias("main")), "main-parts")
     marked = parted.join(main, "slot").withColumn("rare", F.col("part") != F.col("main"))
     once = ~F.col("q.rare") | (F.col("q.node") < F.col("t.node"))
-    found = _candidates(marked, marked.where("rare"), F.col("q.part") != F.col("t.part"), once).where(_enough())
+    found = _candidates(marked, marked.where("rare"), F.col("q.part") != F.col("t.part"), once).where(enough)
     return own, first.unionByName(_verified(found, docs, one, size)).distinct()
