@@ -6,7 +6,7 @@ of the segments: so the Hamming ball of radius 1 is enumerated in each segment,
 fetched, and each match is verified over all bits. Of two segments that differ in one bit, one has an even number of ones:
 only these enumerate their ball, the others are looked up.
 
-``one_of_each`` finds near copies at a similarity, not at a distance: ``shingle_join`` makes the links, complete and exact.
+``near_copies`` uses the same tables to find copies at a similarity, not at a distance.
 
 A bucket of the table may hold very many different near copies, of which not all pairs are made and none is lost. In
 buckets of more than HOT nodes each node is first compared with PIVOTS nodes of the bucket; what they link is contracted to
@@ -16,7 +16,7 @@ links, but they reach exactly the same documents.
 
 Cases: null text is empty; a text without words has fingerprint zero and is linked like any other; fewer words than a shingle are
 one shingle; null doc_id: such documents have fingerprints and can link others, and their component is null only if
-it has no other document; repeated rows are documents like others; other columns aren't read (``one_of_each`` keeps them).
+it has no other document; repeated rows are documents like others; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from chunklake.llm.common import written
 from chunklake.llm.components import components
-from chunklake.llm.shingle_join import near_links, text_hash
 from chunklake.llm.tokens import chunks
 
 BITS = 64
@@ -51,15 +50,13 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def majority(pieces: list[bytes], seed: int, count: int) -> np.ndarray:
-    """``count`` fingerprints: a bit is 1 if it is set in over half the pieces' hashes."""
-    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS * count, np.int64)
+def majority(pieces: list[bytes], seed: int) -> int:
+    """A bit is 1 if it is set in over half the pieces' hashes."""
+    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for i in range(0, len(pieces), PART):
         hashes = np.array([digest(p, seed) for p in pieces[i : i + PART]], np.uint64)
-        every = hashes[:, None] if count == 1 else np.stack([mixed(hashes, k) for k in range(count)], 1)
-        bits = np.unpackbits(every.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.uint32)
-    return np.packbits((total * 2 > len(pieces)).astype(np.uint8), bitorder="little").view(np.uint64)
+        total += np.unpackbits(hashes[:, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int(np.packbits((total * 2 > len(pieces)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -78,32 +75,29 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [data[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
-def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42, count: int = 1) -> np.ndarray:
-    """``count`` fingerprints of a text's shingles."""
-    return majority(shingles(words_of(text), words_in_shingle), seed, count)
+def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> int:
+    """The fingerprint of a text's shingles, as a signed number."""
+    return majority(shingles(words_of(text), words_in_shingle), seed)
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3, count: int = 1) -> DataFrame:
-    """doc_id, fps and node: the fingerprint if there is one, else a 64-bit code of them all."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+    """doc_id and node: the fingerprint."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for c in chunks(iter([b])):
-                texts = c.column(1).to_pylist()
-                fps = [fingerprint(t, words_in_shingle, count=count).view(np.int64).tolist() for t in texts]
-                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
+        for c in chunks(rows):
+            own = pa.array([fingerprint(t, words_in_shingle) for t in c.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), own], ["doc_id", "node"])
 
-    x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, fps array<long>")
-    return x.select("doc_id", (F.xxhash64("fps") if count > 1 else F.get("fps", F.lit(0))).alias("node"), "fps")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(batches, "doc_id long, node long")
 
 
-def slots(nodes: DataFrame, count: int, *others: str) -> DataFrame:
-    """node, slot and other columns; slot: the number of a segment (high half) and its 32 bits (low half), two for each fingerprint."""
+def slots(nodes: DataFrame, segments: range, *others: str) -> DataFrame:
+    """node, slot and other columns; slot: a segment's number (high half) and its 32 bits (low half); two segments for each of fps."""
     halves = []
-    for i in range(count):
-        fp = F.get("fps", F.lit(i))
-        for j, half in enumerate((fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))):
-            halves.append(half.bitwiseOR(F.lit((2 * i + j) << 32)))
+    for i in segments:
+        fp = F.get("fps", F.lit(i // 2))
+        half = F.shiftrightunsigned(fp, 32) if i % 2 else fp.bitwiseAND(F.lit(0xFFFFFFFF))
+        halves.append(half.bitwiseOR(F.lit(i << 32)))
     return nodes.select("node", *others, F.explode(F.array(*halves)).alias("slot"))
 
 
@@ -115,36 +109,32 @@ def probes(table: DataFrame) -> DataFrame:
     return table.withColumn("slot", F.explode(F.when(F.bit_count(bits) % 2 == 0, ball).otherwise(F.array(own))))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs (u, v) whose fingerprints differ in at most ``most`` bits."""
-    x = pairs.join(nodes.select(F.col("node").alias("u"), F.col("fps").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("fps").alias("b")), "v")
-    bits = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
-    return x.where(bits <= most).select("u", "v")
+def verified(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs (u, v) that differ in at most ``most`` of all bits."""
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)
 
 
-def links(nodes: DataFrame, count: int = 1, most: int = 3, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs u < v that join the same nodes as all pairs of near nodes that share a slot, or nearly, would.
-
-    nodes: node, fps; distinct. With one fingerprint and ``most`` up to 3 these are all near pairs.
-    """
-    if count == 1 and most > 3:
+def links(nodes: DataFrame, most: int = 3, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs u < v that join the same nodes as all pairs of nodes (distinct fingerprints) at ``most`` differing bits would."""
+    if most > 3:
         raise ValueError("two segments with balls of radius 1 find 3 differing bits at most")
-    table = written(slots(nodes, count), "slots")
+    nodes = nodes.select("node", F.array("node").alias("fps"))
+    table = written(slots(nodes, range(2)), "slots")
     both = [F.least("q.node", "t.node").alias("u"), F.greatest("q.node", "t.node").alias("v")]
     same = F.col("q.slot") == F.col("t.slot")
     crowded = written(table.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("slot"), "crowded-slots")
     if crowded.isEmpty():
-        found = probes(table).alias("q").join(table.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
-        return verified(found, nodes, most)
+        found = probes(table).alias("q").join(table.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both)
+        return verified(found, most).distinct()
 
     # 1. links to pivots, and the components that they make
     inside = table.join(crowded, "slot", "left_semi")
     chosen = inside.groupBy("slot").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(pivots)))).alias("p")).select("slot", F.explode("p").alias("node"))
     first = inside.alias("q").join(chosen.alias("t"), same & (F.col("q.node") != F.col("t.node"))).select(*both).distinct()
-    first = written(verified(first, nodes, most), "pivot-links")
+    first = written(verified(first, most), "pivot-links")
     part = components(first).withColumnRenamed("node", "member")
     parted = nodes.join(part, F.col("node") == F.col("member"), "left").select("node", "fps", F.coalesce("component", "node").alias("part"))
-    table = written(slots(parted, count, "part"), "slots-of-parts")
+    table = written(slots(parted, range(2), "part"), "slots-of-parts")
     # 2. each crowded slot's largest component
     sizes = table.join(crowded, "slot", "left_semi").groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"))
     main = written(sizes.groupBy("slot").agg(F.max_by("part", F.struct("n", "part")).alias("main")), "main-parts")
@@ -155,38 +145,16 @@ def links(nodes: DataFrame, count: int = 1, most: int = 3, hot: int = HOT, pivot
     apart = same & (F.col("q.part") != F.col("t.part"))
     strangers = ask.join(main, "slot").where(F.col("part") != F.col("main"))
     found = ask.alias("q").join(rare.alias("t"), apart).select(*both).unionByName(strangers.alias("q").join(many.alias("t"), apart).select(*both)).distinct()
-    return first.unionByName(verified(found, nodes, most)).distinct()
+    return first.unionByName(verified(found, most)).distinct()
 
 
-def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, count: int = 1) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits each) and component_id (the smallest doc_id that links reach)."""
-    own = written(fingerprints(docs, words_in_shingle, count), "fingerprints")
-    per = written(own.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("low")), "fingerprint-groups")
-    member = components(links(per.select("node", "fps"), count, most)).withColumnRenamed("node", "member")
+def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach)."""
+    own = written(fingerprints(docs, words_in_shingle), "fingerprints")
+    per = written(own.groupBy("node").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
+    member = components(links(per.select("node"), most)).withColumnRenamed("node", "member")
     least = per.join(member, F.col("node") == F.col("member"), "left").select("node", F.coalesce("component", "node").alias("component"), "low")
     least = written(least, "fingerprint-components")
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(least.join(roots, "component").select("node", "component_id"), "component-names")
-    return own.join(named, "node").select("doc_id", F.lower(F.array_join(F.transform("fps", lambda v: F.lpad(F.hex(v), 16, "0")), "")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words_in_shingle: int = 5) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component of near copies (copies within that doc_id stay together).
-
-    Near copies share 0.8 of their shingles or more. What is decided holds for a doc_id and a text: others of that doc_id are not
-    touched. Of a component without any doc_id one row stays; rows without a doc_id go where their component has one.
-    """
-    own, pairs = near_links(docs, words_in_shingle)
-    member = components(pairs).withColumnRenamed("node", "member")
-    named = own.join(member, F.col("node") == F.col("member"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
-    named = written(named, "near-components")
-    roots = named.groupBy("component").agg(F.min("doc_id").alias("least"), F.min("h").alias("low"))
-    stays = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("least").isNotNull() | (F.col("h") == F.col("low")))
-    drop = named.join(roots, "component").where(~stays).select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
-    drop = written(drop, "near-duplicates")
-    key = F.col("doc_id").cast("long")
-    kept = docs.join(drop, key.eqNullSafe(F.col("gone")) & (text_hash() == F.col("gone_h")), "left_anti")
-    # without a doc_id: of a component only the copies of one text are left
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    single = kept.where(key.isNull()).groupBy(text_hash().alias("_text")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
-    return kept.where(key.isNotNull()).unionByName(single.select("_row.*"))
+    return own.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
