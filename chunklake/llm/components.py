@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import written
+from chunklake.llm.common import release, written
 
 
 def _star(links: DataFrame, least: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = written(large.where("u > v").distinct(), "links-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _star(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(small.where("u > v").distinct(), "links-small")
+        old, e = e, written(small.where("u > v").distinct(), "links-small")
+        release(old, large)
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break

@@ -31,9 +31,12 @@ CELLS = 4096
 LEVELS_PER_OCTAVE = 4
 
 
-def slim(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, level and u of each document."""
-    return docs.select(*_slim_columns(seed))
+def slim(docs: DataFrame, seed: int = 0, *others: str) -> DataFrame:
+    """doc_id, source, size, level and u of each document, and other columns."""
+    # a projection of its own: what uses the size below does not count the words again
+    x = docs.select(*others, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    level = F.floor(F.log2(F.greatest("size", F.lit(1))) * LEVELS_PER_OCTAVE).cast("int").alias("level")
+    return x.select(*others, "doc_id", "source", "size", level, unsigned_unit(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("size"))).alias("u"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] | Mapping[str, float], max_repeats: int, total: int | None) -> DataFrame:
@@ -146,17 +149,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(written(slim(docs, seed), "mix-slim"), **options)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     own = row.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"))
-    keyed = own.select("row", *_slim_columns(seed))
+    keyed = slim(own, seed, "row")
     times = F.when((F.col("size") == 0) & (F.col("n") == 0), F.lit(1)).otherwise(F.col("n"))
     return ranked(keyed, plan).withColumn("n", copies()).select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")
 
-
-def _slim_columns(seed: int) -> list[Column]:
-    size = word_count(F.col("text"))
-    return [
-        F.col("doc_id"),
-        F.col("source"),
-        size.alias("size"),
-        F.floor(F.log2(F.greatest(size, F.lit(1))) * LEVELS_PER_OCTAVE).cast("int").alias("level"),
-        unsigned_unit(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").isNull(), F.col("source"), size)).alias("u"),
-    ]
