@@ -20,7 +20,7 @@ per chunk. What is found are spans (start, number of windows) of a document; the
 The anchors are taken up in TURNS turns by their hash, one after another, so that only one turn's pieces are on disk at a time.
 
 Memory: CHUNK bytes of text with some arrays of eight bytes per byte; in the second pass a part of about ``part_bytes`` of text,
-expanded STEP windows at a time. The number of parts follows the input's size.
+expanded about STEP windows at a time (of one anchor in more windows than that, one place or some places at a time). The number of parts follows the input's size.
 
 Cases: null text is empty; texts shorter than the window lose nothing; a null doc_id counts as larger than all others; documents
 with one doc_id never remove each other's text; an empty table gives an empty result; other columns aren't read
@@ -49,7 +49,7 @@ STEP = 1 << 18
 TURNS = 2
 NO_ID = 2**63 - 1
 PARTS = "part int, doc_id long, h long, spans binary, payload binary"
-SPANS = "doc_id long, h long, spans binary"
+RUNS = "doc_id long, h long, start long, number long"
 PIECE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("place", "u1"), ("windows", "u1")])
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -126,6 +126,23 @@ def _groups(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _later(eight: np.ndarray, at: np.ndarray, group: np.ndarray, place: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Second pass: which of these windows also begin in a smaller document. at: where they stand in the text."""
+    digits = [*(eight[at + i] for i in range(0, window - 7, 8)), *([eight[at + window - 8]] if window % 8 else [])]
+    digit = codes(group.astype(np.uint64), place.astype(np.uint64))
+    for x in digits:
+        digit = codes(digit, x)
+    by = np.argsort(digit, kind="stable")
+    begins = _groups(digit[by], group[by], place[by], *(x[by] for x in digits))
+    if len(_groups(digit[by])) != len(begins):
+        # a collision of codes would cut one group into several: such codes are sorted by their bytes
+        by = np.lexsort((*digits[::-1], place, group))
+        begins = _groups(group[by], place[by], *(x[by] for x in digits))
+    d = doc[by]
+    low = np.repeat(np.minimum.reduceat(d, begins), np.diff(np.append(begins, len(by)))) if len(by) else d
+    return by[d > low]
+
+
 def repeated(data: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, code: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Windows that also begin in a smaller document: their piece, and their number in it. doc: ids, in order."""
     none = np.zeros(0, np.int64)
@@ -157,41 +174,25 @@ def repeated(data: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.n
         piece, g = np.repeat(own, n), np.repeat(group[a:b], n)
         number = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         at, rest = first[piece] + number, place[piece] - number
-        digits = [*(eight[at + i] for i in range(0, window - 7, 8)), *([eight[at + window - 8]] if window % 8 else [])]
-        digit = codes(g.astype(np.uint64), rest.astype(np.uint64))
-        for x in digits:
-            digit = codes(digit, x)
-        by = np.argsort(digit, kind="stable")
-        begins = _groups(digit[by], g[by], rest[by], *(x[by] for x in digits))
-        d = doc[piece[by]]
-        # a collision of codes would cut one group into several: such codes are sorted by their bytes
-        same_code = len(_groups(digit[by])) != len(begins)
-        if same_code:
-            by = np.lexsort((*digits[::-1], rest, g))
-            begins = _groups(g[by], rest[by], *(x[by] for x in digits))
-            d = doc[piece[by]]
-        low = np.repeat(np.minimum.reduceat(d, begins), np.diff(np.append(begins, len(by))))
-        gone = by[d > low]
-        out_piece.append(piece[gone])
-        out_number.append(number[gone])
+        # equal windows have their anchor at the same place: a group of very many windows is taken up by places
+        turns = min(window - RUN + 1, max(1, len(piece) // STEP))
+        for turn in range(turns):
+            of = np.flatnonzero(rest % turns == turn) if turns > 1 else slice(None)
+            gone = _later(eight, at[of], g[of], rest[of], doc[piece[of]], window)
+            out_piece.append(piece[of][gone])
+            out_number.append(number[of][gone])
     return np.concatenate(out_piece), np.concatenate(out_number)
 
 
-def spans_of(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each document its windows' starts as runs (start, number), 16 bytes each."""
-    if not len(doc):
-        return
+def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows' starts as maximal runs: document, first start and number, by document."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
     begins = np.flatnonzero(new)
     last = np.append(begins[1:], len(doc)) - 1
-    runs = np.stack([start[begins], start[last] - start[begins] + 1], 1).astype("<i8")
-    owner = doc[begins]
-    cut = np.append(_groups(owner), len(owner))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield int(owner[a]), runs[a:b].tobytes()
+    return doc[begins], start[begins], start[last] - start[begins] + 1
 
 
 def sent(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], parts: int, turn: int = 0, turns: int = 1) -> Iterator[tuple]:
@@ -207,8 +208,11 @@ def sent(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], parts: int, tu
         return
     owner = np.searchsorted(ends, first, side="right")
     piece, number = repeated(data, first, count, place, code, ids[owner])
-    for k, spans in spans_of(owner[piece], first[piece] + number - starts[owner[piece]]):
-        yield int(hashes[k] % parts), int(ids[k]), int(hashes[k]), spans, None
+    doc, start, n = runs_of(owner[piece], first[piece] + number - starts[owner[piece]])
+    spans, cut = np.stack([start, n], 1).astype("<i8"), np.append(_groups(doc), len(doc))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        k = int(doc[a])
+        yield int(hashes[k] % parts), int(ids[k]), int(hashes[k]), spans[a:b].tobytes(), None
     left = np.ones(len(first), bool)
     settled = np.bincount(piece, minlength=len(first))
     left[settled == count] = False
@@ -230,8 +234,8 @@ def sent(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], parts: int, tu
         yield int(part[a]), None, None, None, squeeze.compress(head + ids[docs].astype("<i8").tobytes() + hashes[docs].astype("<i8").tobytes() + columns + data[at].tobytes())
 
 
-def received(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """Spans (doc_id, hash, spans) of the windows of all payloads of a part."""
+def received(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The runs of repeated windows of all payloads of a part: doc_id, hash, start, number."""
     ids, hashes, doc, start, place, windows, text, base = [], [], [], [], [], [], [], 0
     stretch = zstandard.ZstdDecompressor()
     for p in payloads:
@@ -252,7 +256,7 @@ def received(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         text.append(p[at:])
         base += d
     if not text:
-        return
+        return (np.zeros(0, np.int64),) * 4
     ids, hashes, doc, start = np.concatenate(ids), np.concatenate(hashes), np.concatenate(doc), np.concatenate(start)
     place, count = np.concatenate(place).astype(np.int64), np.concatenate(windows).astype(np.int64)
     data = np.frombuffer(b"".join(text), np.uint8)
@@ -262,9 +266,9 @@ def received(payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     eight = loads(data)
     code = codes(eight[first + place], eight[first + place + 8])
     piece, number = repeated(data, first, count, place, code, ids[doc])
-    # the same document may come in several payloads: its rows are joined by its place in the list, and again at its text
-    for k, spans in spans_of(doc[piece], start[piece] + number):
-        yield int(ids[k]), int(hashes[k]), spans
+    # the same document may come in several payloads: its runs meet at its text
+    doc, start, number = runs_of(doc[piece], start[piece] + number)
+    return ids[doc], hashes[doc], start, number
 
 
 def _mapper(parts: int, turn: int, turns: int):
@@ -295,20 +299,20 @@ def _columns(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def _reducer(group: pa.Table) -> pa.Table:
-    settled = group.filter(pc.is_valid(group["spans"])).select(["doc_id", "h", "spans"])
-    payloads = [p for p in group["payload"].to_pylist() if p is not None]
-    found = list(received(payloads))
-    if found:
-        cols = list(zip(*found, strict=True))
-        own = pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["doc_id", "h", "spans"])
-        settled = pa.concat_tables([settled, own.cast(settled.schema)])
-    return settled
+    """One row for each maximal run, so that rows follow the repeated text and not the number of parts."""
+    settled = group.filter(pc.is_valid(group["spans"]))
+    spans = settled["spans"].to_pylist()
+    times = np.array([len(x) // 16 for x in spans], np.int64)
+    own = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+    found = received([p for p in group["payload"].to_pylist() if p is not None])
+    mine = (np.repeat(settled["doc_id"].to_numpy(), times), np.repeat(settled["h"].to_numpy(), times), own[:, 0], own[:, 1])
+    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(mine, found, strict=True)], [c.split()[0] for c in RUNS.split(", ")])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null: the largest), h (of the text) and text as bytes."""
-    text = plain(F.col("text"))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
+    """doc_id (null: the largest), id as it is, h (of the text) and text as bytes."""
+    text, own = plain(F.col("text")), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), own.alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
 
 
 def repeated_spans(docs: DataFrame, part_bytes: int = 8 << 20, turns: int = TURNS) -> DataFrame:
@@ -316,20 +320,19 @@ def repeated_spans(docs: DataFrame, part_bytes: int = 8 << 20, turns: int = TURN
     x = keyed(docs)
     total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // (part_bytes * turns)))
-    long = x.where(F.octet_length("text") >= WINDOW)
+    long = x.where(F.octet_length("text") >= WINDOW).select("doc_id", "h", "text")
     found = None
     for turn in range(turns):
-        own = long.mapInArrow(_mapper(parts, turn, turns), PARTS).groupBy("part").applyInArrow(_reducer, SPANS)
+        own = long.mapInArrow(_mapper(parts, turn, turns), PARTS).groupBy("part").applyInArrow(_reducer, RUNS)
         own = written(own, "repeat-spans")  # the turn's shuffle files go as soon as this is written
         found = own if found is None else found.unionByName(own)
-    return found.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans"))
+    return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "number")).alias("spans"))
 
 
-def cut(text: bytes, spans: list[bytes] | None) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal removed runs, and what is left."""
-    if not spans:
+def cut(text: bytes, runs: np.ndarray) -> tuple[int, int, bytes]:
+    """Removed bytes, maximal removed runs, and what is left. runs: start and number of repeated windows."""
+    if not len(runs):
         return 0, 0, text
-    runs = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
     edge = np.zeros(len(text) + 1, np.int32)
     np.add.at(edge, runs[:, 0], 1)
     np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + WINDOW, -1)
@@ -338,6 +341,14 @@ def cut(text: bytes, spans: list[bytes] | None) -> tuple[int, int, bytes]:
     return int(gone.sum()), opens, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
+def _runs(spans: pa.ListArray) -> list[np.ndarray]:
+    """Each row's runs; a null has none."""
+    rows = spans.flatten()
+    flat = np.stack([rows.field(0).to_numpy(zero_copy_only=False), rows.field(1).to_numpy(zero_copy_only=False)], 1) if len(rows) else np.zeros((0, 2), np.int64)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "spans")
     return docs.join(s, (F.col("doc_id") == F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
@@ -349,14 +360,13 @@ def removals(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             text = b.column(1).to_pylist()
-            found = [cut(t, s) for t, s in zip(text, b.column(2).to_pylist(), strict=True)]
-            ids = [None if i == NO_ID else i for i in b.column(0).to_pylist()]
+            found = [cut(t, s) for t, s in zip(text, _runs(b.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in text], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())],
+                [b.column(0), pa.array([len(t) for t in text], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    x = _joined(keyed(docs), repeated_spans(docs, part_bytes)).select("doc_id", "text", "spans")
+    x = _joined(keyed(docs), repeated_spans(docs, part_bytes)).select("id", "text", "spans")
     return x.mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -371,7 +381,7 @@ def without_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             at = b.schema.names.index("text")
-            text = [None if t is None else cut(t.encode(), s)[2].decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            text = [None if t is None else cut(t.encode(), s)[2].decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), _runs(b.column(b.num_columns - 1)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)], b.schema.names[:-1])
 
     return x.mapInArrow(batches, schema)
