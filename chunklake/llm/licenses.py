@@ -142,9 +142,13 @@ def scan_batch(x: Notices, texts: list[bytes | None]) -> Iterator[tuple]:
     ids, ends = ids_of(texts, x.vocabulary)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
 
+    numbered: dict[int, np.ndarray] = {}
+
     def distinct(t: int, b: int) -> int:
-        words = words_of(texts[t])
-        return len(set(words[b * x.block : (b + 2) * x.block]))
+        if t not in numbered:  # a text's words are numbered once, whatever the number of its blocks
+            numbers: dict[bytes, int] = {}
+            numbered[t] = np.array([numbers.setdefault(w, len(numbers)) for w in words_of(texts[t])], np.int32)
+        return len(np.unique(numbered[t][b * x.block : (b + 2) * x.block]))
 
     found = matches(x, ids, np.arange(len(texts)), starts, ends, distinct)
     base: dict[int, list[tuple[int, str]]] = {}
