@@ -43,7 +43,9 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return exact_dedup.decisions(table(spark, sf_dir, "documents"), index)
+    out = exact_dedup.decisions(table(spark, sf_dir, "documents"), index)
+    index.close()
+    return out
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,25 +88,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    # These tables' conversations have fewer than 256 turns: one block each.
+    # A system turn of more than 160 tokens is repeated up to its 156th word.
     "op3_chat_windows": r"""
         WITH t0 AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
         t1 AS (
           SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
-            length('<turn:' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</turn>') + 1 AS size
+            length('<turn:' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</turn>') + 1 AS size,
+            length('<turn:system></turn>') + 1 + length(replace(replace(regexp_extract(text, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,155}[^\x20\x09-\x0D]*'), '&', '&amp;'), '<', '&lt;')) AS shown
           FROM t0),
         t2 AS (
-          SELECT *, first_value(role) OVER w AS role1, first_value(text) OVER w AS text1, first_value(size) OVER w AS size1,
+          SELECT *, first_value(role) OVER w AS role1, first_value(text) OVER w AS text1, first_value(shown) OVER w AS size1,
             row_number() OVER w AS place, coalesce(sum(tokens) OVER b, 0) // 192 AS cell, count(*) FILTER (WHERE tokens > 192) OVER w AS alone, tokens > 192 AS own
           FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING),
             b AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t3 AS (
           SELECT *, place = 1 OR (lag(cell) OVER w, lag(alone) OVER w, lag(own) OVER w) <> (cell, alone, own) AS opens,
             lag(tokens) OVER w AS n1, lag(tokens, 2) OVER w AS n2, lag(size) OVER w AS s1, lag(size, 2) OVER w AS s2,
-            lag(role) OVER w = 'system' AND lag(text) OVER w = text1 AND role1 = 'system' AS f1,
-            lag(role, 2) OVER w = 'system' AND lag(text, 2) OVER w = text1 AND role1 = 'system' AS f2
+            place = 2 AND role1 = 'system' AS f1, place = 3 AND role1 = 'system' AS f2
           FROM t2 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
         t4 AS (SELECT *, opens AND place > 1 AND NOT f1 AND n1 <= 96 AS b1 FROM t3),
         t5 AS (SELECT *, b1 AND place > 2 AND NOT f2 AND n1 + n2 <= 96 AS b2 FROM t4)

@@ -48,5 +48,26 @@ def test_budget_history_and_system(spark):
     assert max(r.tokens for r in w if r.conv_id == 5) > 5000  # a turn is never cut
 
 
+def test_where_turns_are_numbered_does_not_matter(spark):
+    said = [("user" if i % 2 else "assistant", "word " * (20 + i * 13 % 70)) for i in range(60)]
+    dense = [(1, i, *x) for i, x in enumerate(said)]
+    places = {1: lambda i: i, 2: lambda i: 256 * i, 3: lambda i: 10**12 + 7000 * i, 4: lambda i: i * 2**30 - 2**34, 5: lambda i: i // 20 * 2**40 + i}
+    rows = [(c, at(t), role, text, 1) for c, at in places.items() for _, t, role, text in dense]
+    got = defaultdict(list)
+    for r in chat.format_windows(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.conv_id].append((r.window, r.tokens, r.context, r.text, tuple(r.loss)))
+    assert len(got[1]) > 5 and any(x[2] for x in got[1])
+    assert all(sorted(got[c]) == sorted(got[1]) for c in places)
+
+
+def test_total_budget_with_a_long_system_turn(spark):
+    long = " ".join(f"rule{i}" for i in range(2000))
+    rows = [(1, 0, "system", long, 1)] + [(1, i, "user" if i % 2 else "assistant", "word " * (10 + i * 11 % 80), 1) for i in range(1, 80)]
+    w = sorted(chat.format_windows(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r.window)
+    assert long in w[0].text and w[0].window == 0
+    for r in w[1:]:
+        assert r.tokens <= 384 + 96 + 160 and r.text.startswith("<turn:system>rule0 ") and "rule155" in r.text and "rule156" not in r.text
+
+
 def test_empty(spark):
     assert chat.format_windows(spark.createDataFrame([], SCHEMA)).count() == 0
