@@ -1,9 +1,13 @@
 """Exact deduplication against a persistent index of digests.
 
-The index is a Parquet table bucketed and sorted by digest: one row per text (digest, keep_id, group_size). A batch is reduced
-to one row per digest (partial sums run before the shuffle, so a text of a third of all rows sends one row per task), then
-anti-joined with the index by sort-merge join, for which Spark need not shuffle the index, and what is new is appended.
-Appending is one write job; a job that dies leaves no row in the table.
+The index is a Parquet table bucketed and sorted by digest (digest, keep_id, group_size). A batch is reduced to one row per digest
+(partial sums run before the shuffle, so a text of a third of all rows sends one row per task) and meets the index in one
+sort-merge join, for which Spark shuffles the batch alone: the index is read by its buckets as it lies. The anti part of
+that join is new and appended with the batch's smallest doc_id; of texts that the index holds, a row with the batch's count
+is appended, and the index's rows of a digest are added up when read. So keep_id is who came first and stays, and
+group_size counts all batches. Appending is one write job; a job that dies leaves no row in the table.
+
+What is decided for a digest comes back to the batch's rows by a join in which no hot digest meets in one task (``attached``).
 
 Texts are equal when identical after each run of ASCII white space became one space; null counts as empty.
 
@@ -19,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import SPACES, plain, shuffle_cleanup, written
+from chunklake.llm.common import SPACES, attached, plain, shuffle_cleanup, written
 
 SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
@@ -41,26 +45,32 @@ class DigestIndex:
         spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """One row per digest; rows of a digest lie in one bucket, so that nothing is shuffled."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of batch (digest, keep_id, group_size; one per digest) whose digest the index doesn't hold."""
-        return batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+    def met(self, batch: DataFrame) -> DataFrame:
+        """batch (digest, keep_id, n; one row per digest) with who stays, the size with this batch, and whether the index had it."""
+        old = self.rows().select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"), F.lit(True).alias("old"))
+        x = batch.join(old.hint("merge"), "digest", "left")
+        keep = F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id"))
+        return x.select("digest", keep.alias("keep_id"), "n", (F.col("n") + F.coalesce("old_size", F.lit(0))).alias("group_size"), F.coalesce("old", F.lit(False)).alias("old"))
 
     def append(self, rows: DataFrame) -> None:
-        """rows' digests must be new. One file for each bucket, sorted."""
+        """One sorted file for each bucket."""
         with shuffle_cleanup(self.spark):
             rows.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
 
-    def add(self, digests: DataFrame) -> None:
-        """Adds a batch of (doc_id, digest)."""
-        batch = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    def add(self, digests: DataFrame) -> DataFrame:
+        """Adds a batch of (doc_id, digest); what was decided for each of its digests (see ``met``), as a written table."""
+        batch = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         # written first: what is appended must not be computed from the table that it is appended to
-        self.append(written(self.unseen(batch), "digest-batch"))
+        out = written(self.met(batch), "digest-batch")
+        self.append(out.select("digest", "keep_id", F.col("n").alias("group_size")))
+        return out
 
-    def as_files(self) -> DataFrame:
-        """The same rows without buckets: a join that may meet a hot digest needs two shuffled sides for Spark to split it."""
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+    def close(self) -> None:
+        """Takes the name out of the session's catalogue; the files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -70,8 +80,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Adds docs to the index; one row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     own = written(digests(docs), "digests")
-    index.add(own)
-    x = own.join(index.as_files(), "digest")
+    x = attached(own, index.add(own).drop("old"), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return x.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -81,10 +90,7 @@ def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     Rows equal in doc_id and text stay together.
     """
-    own = written(digests(docs), "digests")
-    batch = own.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    new = written(index.unseen(batch), "digest-batch")
-    index.append(new)
+    new = index.add(digests(docs)).where(~F.col("old"))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("digest", digest(F.col("row.text")))
     n = new.select(F.col("digest").alias("d"), "keep_id")
     return row.join(n, (F.col("digest") == F.col("d")) & F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import written
+from chunklake.llm.common import attached, written
 from chunklake.llm.components import components
 from chunklake.llm.tokens import chunks
 
@@ -151,10 +151,10 @@ def links(nodes: DataFrame, most: int = 3, hot: int = HOT, pivots: int = PIVOTS)
 def clustered(docs: DataFrame, words_in_shingle: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach)."""
     own = written(fingerprints(docs, words_in_shingle), "fingerprints")
-    per = written(own.groupBy("node").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
+    per = written(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "fingerprint-groups")
     member = components(links(per.select("node"), most)).withColumnRenamed("node", "member")
-    least = per.join(member, F.col("node") == F.col("member"), "left").select("node", F.coalesce("component", "node").alias("component"), "low")
+    least = per.join(member, F.col("node") == F.col("member"), "left").select("node", "n", F.coalesce("component", "node").alias("component"), "low")
     least = written(least, "fingerprint-components")
-    roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(least.join(roots, "component").select("node", "component_id"), "component-names")
-    return own.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = least.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = written(attached(least.withColumnRenamed("n", "rows"), roots, "component").select("node", "component_id", F.col("rows").alias("n")), "component-names")
+    return attached(own, named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,6 +5,8 @@ import re
 import data
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from chunklake.llm import exact_dedup, simhash, suffix_dedup
 from chunklake.llm.common import scratch_path
 
@@ -37,11 +39,24 @@ def test_index_persists_and_is_anti_joined(spark):
     assert again.rows().count() == first == len({norm(t) for _, t, *_ in a})
     new = exact_dedup.deduplicated(data.frame(spark, b), again)
     assert {norm(r.text) for r in new.collect()} == {norm(t) for _, t, *_ in b} - {norm(t) for _, t, *_ in a}
-    plan = again.unseen(again.as_files())._jdf.queryExecution().executedPlan().toString()
+    batch = exact_dedup.digests(data.frame(spark, b)).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    plan = again.met(batch)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") <= 1
     assert exact_dedup.decisions(data.empty(spark), exact_dedup.DigestIndex(spark, scratch_path(spark, "t"), 2)).count() == 0
 
 
+def test_later_batches_keep_who_came_first(spark):
+    one = [(5, "a b", "en", "s", 1), (6, "c", "en", "s", 1), (7, "a  b", "en", "s", 1)]
+    two = [(1, "a\nb", "en", "s", 1), (2, "new", "en", "s", 1), (None, "c", "en", "s", 1)]
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "t"), 4)
+    first = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.decisions(data.frame(spark, one), index).collect()}
+    assert first == {5: (5, 2, True), 6: (6, 1, True), 7: (5, 2, False)}
+    then = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.decisions(data.frame(spark, two), index).collect()}
+    assert then == {1: (5, 3, False), 2: (2, 1, True), None: (6, 2, False)}
+    assert {r.keep_id: r.group_size for r in index.rows().collect()} == {5: 3, 6: 2, 2: 1}
+    index.close()
+
+
 def near_texts():
     r = random.Random(9)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
