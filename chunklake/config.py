@@ -81,6 +81,8 @@ def logical_lines(text: str) -> list[tuple[int, str]]:
 
 def _value(field: str, text: str) -> object:
     if field in ("hot_level", "cold_level"):
+        if field == "hot_level" and text == "none":
+            return None
         m = re.fullmatch(r"zstd-(-?\d+)", text)
         if not m or not -10 <= int(m[1]) <= 22 or int(m[1]) == 0:
             raise ValueError("must be zstd-N, N from -10 to 22 and not 0")
@@ -117,7 +119,11 @@ def parse(text: str, prefix: str = "store") -> Config:
             warnings.warn(f"line {n}: unknown key {name}", stacklevel=2)
             continue
         try:
-            setattr(out, NAMES[name], _value(NAMES[name], value))
+            parsed = _value(NAMES[name], value)
+            if parsed is None:
+                out.hot_compression = False
+            else:
+                setattr(out, NAMES[name], parsed)
         except ValueError as e:
             raise ConfigError(f"line {n}: {name}: {e}") from e
     return out

@@ -380,8 +380,6 @@ def unpacked(version: int, data: bytes) -> bytes:
 
 def parse_region(data: bytes) -> list[dict]:
     """The chunks of a region file: x_rel, z_rel, nbt, timestamp, compression."""
-    if not data:
-        return []
     if len(data) < 2 * SECTOR:
         raise FormatError("region: short header")
     places, stamps = np.frombuffer(data, ">u4", REGION_SLOTS), np.frombuffer(data, ">u4", REGION_SLOTS, SECTOR)
@@ -389,7 +387,9 @@ def parse_region(data: bytes) -> list[dict]:
     for i in np.flatnonzero(places).tolist():
         sector, count = int(places[i]) >> 8, int(places[i]) & 255
         at = sector * SECTOR
-        if sector < 2 or not count or at + 5 > len(data):
+        if not count:
+            continue
+        if sector < 2 or at + 5 > len(data):
             raise FormatError(f"region: slot {i} out of bounds")
         n = int.from_bytes(data[at : at + 4], "big")
         if not 0 < n <= count * SECTOR - 4 or at + 4 + n > len(data):

@@ -24,7 +24,7 @@ FILES = "path string, length bigint"
 ROWS = 1024
 
 
-def files(spark: SparkSession, path: str, pattern: str, recursive: bool = True) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], pattern: str, recursive: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
@@ -72,8 +72,8 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return _scan(both, lambda name, data: (_signed(r) | {"path": name} for r in formats.parse_archive(data["content"], data["marks"])), ARCHIVE_ROWS)
 
 
-def region_files(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of all region files r.X.Z.mca, at absolute coordinates."""
+def region_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Chunks of all region files r.X.Z.mca in a folder, or of these files, at absolute coordinates."""
 
     def parse(name: str, data: bytes) -> Iterator[dict]:
         rx, rz = (int(v) for v in name.rsplit("/", 1)[-1].split(".")[1:3])

@@ -16,11 +16,10 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, maintain: bool = Tr
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number <= store.state()["batch"]:
-            return
-        store.write(rows, batch=number)
-        store.flush()
-        if maintain and store.state()["flushes"] % max(1, store.config.stable_flushes) == 0:
+        # rows, batch number and flush are one commit; maintenance that a crash cut short is due at the next batch
+        store.write(rows, batch=number, flush=True)
+        state = store.state()
+        if maintain and state["flushes"] - state["maintained"] >= max(1, store.config.stable_flushes):
             store.maintain()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
