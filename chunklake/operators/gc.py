@@ -50,10 +50,10 @@ def punch_chunks(punched: DataFrame, piece: int = PUNCH_PIECE) -> DataFrame:
     return cut.select(*dims(punched), "seg", "gen", (F.col("offset") + F.col("at")).alias("offset"), F.least(F.lit(piece).cast("bigint"), F.col("length") - F.col("at")).alias("length"))
 
 
-def plan(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Each segment's action: delete (nothing live, nothing corrupt that is latest), keep, punch (a corrupt latest record must stay
-    where it is), or compact."""
-    t = triage(df).withColumn("dead_ratio", F.col("dead_bytes") / F.greatest("total_bytes", F.lit(1)))
+def acted(triaged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Triaged segments with dead_ratio and action: delete (nothing live, nothing corrupt that is latest), keep, compact (its dead payloads
+    may be punched before), or punch only (a corrupt latest record must stay where it is)."""
+    t = triaged.withColumn("dead_ratio", F.col("dead_bytes") / F.greatest("total_bytes", F.lit(1)))
     action = (
         F.when((F.col("live") == 0) & (F.col("corrupt_latest") == 0), "delete")
         .when((F.col("dead") == 0) | (F.col("dead_ratio") < threshold), "keep")
@@ -63,11 +63,19 @@ def plan(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return t.withColumn("action", action)
 
 
+def plan(df: DataFrame, threshold: float = THRESHOLD, min_hole: int = MIN_HOLE, piece: int = PUNCH_PIECE) -> DataFrame:
+    """Each segment's action with what the punch step takes first: holes (pieces) and punched_bytes."""
+    d = dims(df)
+    holes = punch_chunks(punches(df, min_hole, threshold), piece).groupBy(*d, "seg").agg(F.count(F.lit(1)).alias("holes"), F.sum("length").alias("punched_bytes"))
+    return acted(triage(df), threshold).join(holes, [*d, "seg"], "left").fillna(0, ["holes", "punched_bytes"])
+
+
 def scored(planned: DataFrame, epoch: int | None = None) -> DataFrame:
-    """Compaction candidates with their score: dead bytes per epoch of age. epoch: a column ``epoch`` if None."""
+    """Compaction candidates (dead bytes are left after the punch step) with their score: dead bytes per epoch of age. epoch: a column
+    ``epoch`` if None."""
     now = F.col("epoch") if epoch is None else F.lit(epoch)
     age = F.greatest(now - F.col("created_epoch"), F.lit(1))
-    return planned.where("action = 'compact'").withColumn("score", F.col("dead_bytes") / age)
+    return planned.where("action = 'compact' and dead_bytes > punched_bytes").withColumn("score", F.col("dead_bytes") / age)
 
 
 def selected(candidates_: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -84,16 +92,23 @@ def selected(candidates_: DataFrame, budget: int = BUDGET) -> DataFrame:
     return one.select(*d, F.explode(F.expr(fold)).alias("seg"))
 
 
-def stats(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """What a pass would do: segments removed, compacted and punched, bytes reclaimed and moved."""
-    p = plan(df, threshold)
-    when = lambda a, v: F.coalesce(F.sum(F.when(F.col("action") == a, v)), F.lit(0))
+def stats(planned: DataFrame, budget: int = BUDGET, epoch: int | None = None) -> DataFrame:
+    """What a pass does with this plan: segments deleted and, within the budget, compacted; holes punched; records and bytes moved; bytes
+    reclaimed: whole segments, punched payloads, and of a compacted segment what neither moved nor was punched."""
+    d = dims(planned)
+    chosen = selected(scored(planned, epoch), budget).select(*d, "seg", F.lit(True).alias("moves"))
+    p = planned.join(chosen, [*d, "seg"], "left")
+    total = lambda when, v: F.coalesce(F.sum(F.when(when, v)), F.lit(0))
+    delete, due, moves = F.col("action") == "delete", F.col("action").isin("punch", "compact"), F.coalesce("moves", F.lit(False))
+    net = F.col("total_bytes") - F.col("live_bytes") - F.col("punched_bytes")
     return p.agg(
-        when("delete", F.lit(1)).alias("removed"),
-        when("compact", F.lit(1)).alias("compacted"),
-        when("punch", F.lit(1)).alias("punched"),
-        (when("delete", F.col("total_bytes")) + when("compact", F.col("dead_bytes"))).alias("reclaimed_bytes"),
-        when("compact", F.col("live_bytes")).alias("moved_bytes"),
+        total(delete, F.lit(1)).alias("removed"),
+        total(moves, F.lit(1)).alias("compacted"),
+        total(due, F.col("holes")).alias("holes"),
+        total(due, F.col("punched_bytes")).alias("punched_bytes"),
+        total(moves, F.col("live")).alias("records_moved"),
+        total(moves, F.col("live_bytes")).alias("moved_bytes"),
+        (total(delete, F.col("total_bytes")) + total(due, F.col("punched_bytes")) + total(moves, net)).alias("reclaimed_bytes"),
     )
 
 

@@ -19,7 +19,7 @@ from chunklake.operators import verify as V
 from chunklake.plans.record_log import SEGMENT, Views, sql
 
 K = ["x", "z", "type_id"]
-PACK, BUDGET, CHUNK = 65536, 20000, 100
+PACK, BUDGET, CHUNK, HOLE = 65536, 20000, 100, 256
 POINT, REGION = (3, 1, 0), (0, 0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,28 +118,41 @@ query("gc_candidates", "SELECT seg, dead_ratio FROM pln WHERE dead_ratio >= 0.6"
 query(
     "punch_plan",
     "SELECT o.seg, o.gen, o.off + 40 AS \"offset\", o.plen AS \"length\" FROM ofs o JOIN pln p USING (seg) JOIN spn ON spn.seg = o.seg AND o.off >= spn.s AND o.off < spn.e WHERE NOT o.live AND p.dead_ratio >= 0.6 AND p.action <> 'delete' AND spn.e - spn.s >= 256",
-)(lambda v: G.punches(v.seg, min_hole=256).select("seg", "gen", *big("offset", "length")))
+)(lambda v: G.punches(v.seg, min_hole=HOLE).select("seg", "gen", *big("offset", "length")))
 query(
     "punch_chunks",
     f"SELECT seg, gen, off + 40 + i AS \"offset\", least({CHUNK}, plen - i) AS \"length\" FROM (SELECT o.seg, o.gen, o.off, o.plen, unnest(range(0, o.plen, {CHUNK})) AS i FROM ofs o JOIN pln p USING (seg) JOIN spn ON spn.seg = o.seg AND o.off >= spn.s AND o.off < spn.e WHERE NOT o.live AND p.dead_ratio >= 0.6 AND p.action <> 'delete' AND spn.e - spn.s >= 256)",
-)(lambda v: G.punch_chunks(G.punches(v.seg, min_hole=256), CHUNK).select("seg", "gen", *big("offset", "length")))
-query("gc_plan", "SELECT seg, action, dead_ratio, live_bytes, dead_bytes FROM pln")(lambda v: G.plan(v.seg).select("seg", "action", "dead_ratio", *big("live_bytes", "dead_bytes")))
-query("compaction_score", "SELECT seg, score FROM sc")(lambda v: G.scored(G.plan(v.seg).crossJoin(F.broadcast(v.epoch))).select("seg", "score"))
-query(
-    "compaction_select",
-    f""", rk AS (SELECT seg, live_bytes, row_number() OVER (ORDER BY -score, seg) AS r FROM sc),
+)(lambda v: G.punch_chunks(G.punches(v.seg, min_hole=HOLE), CHUNK).select("seg", "gen", *big("offset", "length")))
+#: What the punch step takes of each segment, and what is left to compact in order of score within the budget.
+PUNCHED = f""", pun AS (SELECT o.seg, o.plen FROM ofs o JOIN pln p USING (seg) JOIN spn ON spn.seg = o.seg AND o.off >= spn.s AND o.off < spn.e WHERE NOT o.live AND p.dead_ratio >= 0.6 AND p.action <> 'delete' AND spn.e - spn.s >= {HOLE}),
+        hol AS (SELECT seg, CAST(sum((plen + {CHUNK - 1}) // {CHUNK}) AS BIGINT) AS holes, CAST(sum(plen) AS BIGINT) AS punched_bytes FROM pun WHERE plen > 0 GROUP BY seg),
+        act AS (SELECT pln.*, coalesce(holes, 0) AS holes, coalesce(punched_bytes, 0) AS punched_bytes FROM pln LEFT JOIN hol USING (seg))"""
+CHOSEN = f""", rk AS (SELECT seg, sc.live_bytes, row_number() OVER (ORDER BY -score, seg) AS r FROM sc JOIN act USING (seg) WHERE act.dead_bytes > act.punched_bytes),
         walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS m, CAST(NULL AS BIGINT) AS seg, false AS took UNION ALL
-            SELECT rk.r, CASE WHEN m + live_bytes <= {BUDGET} THEN m + live_bytes ELSE m END, rk.seg, m + live_bytes <= {BUDGET} FROM walk JOIN rk ON rk.r = walk.r + 1)
-        SELECT seg FROM walk WHERE took""",
-)(lambda v: G.selected(G.scored(G.plan(v.seg).crossJoin(F.broadcast(v.epoch))), BUDGET))
+            SELECT rk.r, CASE WHEN m + live_bytes <= {BUDGET} THEN m + live_bytes ELSE m END, rk.seg, m + live_bytes <= {BUDGET} FROM walk JOIN rk ON rk.r = walk.r + 1)"""
+
+
+def _planned(v: Views) -> DataFrame:
+    return G.plan(v.seg, min_hole=HOLE, piece=CHUNK)
+
+
+query("gc_plan", PUNCHED + " SELECT seg, action, dead_ratio, live_bytes, dead_bytes, holes, punched_bytes FROM act")(
+    lambda v: _planned(v).select("seg", "action", "dead_ratio", *big("live_bytes", "dead_bytes", "holes", "punched_bytes"))
+)
+query("compaction_score", PUNCHED + " SELECT seg, score FROM sc JOIN act USING (seg) WHERE act.dead_bytes > act.punched_bytes")(lambda v: G.scored(_planned(v).crossJoin(F.broadcast(v.epoch))).select("seg", "score"))
+query("compaction_select", PUNCHED + CHOSEN + " SELECT seg FROM walk WHERE took")(lambda v: G.selected(G.scored(_planned(v).crossJoin(F.broadcast(v.epoch))), BUDGET))
 query(
     "gc_stats",
-    """SELECT count(*) FILTER (WHERE action = 'delete') AS removed, count(*) FILTER (WHERE action = 'compact') AS compacted, count(*) FILTER (WHERE action = 'punch') AS punched,
-        CAST(coalesce(sum(total_bytes) FILTER (WHERE action = 'delete'), 0) + coalesce(sum(dead_bytes) FILTER (WHERE action = 'compact'), 0) AS BIGINT) AS reclaimed_bytes,
-        CAST(coalesce(sum(live_bytes) FILTER (WHERE action = 'compact'), 0) AS BIGINT) AS moved_bytes FROM pln""",
-)(lambda v: G.stats(v.seg).select(*big("removed", "compacted", "punched", "reclaimed_bytes", "moved_bytes")))
+    PUNCHED
+    + CHOSEN
+    + """ SELECT count(*) FILTER (WHERE action = 'delete') AS removed, count(*) FILTER (WHERE took) AS compacted,
+        CAST(coalesce(sum(holes), 0) AS BIGINT) AS holes, CAST(coalesce(sum(punched_bytes), 0) AS BIGINT) AS punched_bytes,
+        CAST(coalesce(sum(live) FILTER (WHERE took), 0) AS BIGINT) AS records_moved, CAST(coalesce(sum(live_bytes) FILTER (WHERE took), 0) AS BIGINT) AS moved_bytes,
+        CAST(coalesce(sum(total_bytes) FILTER (WHERE action = 'delete'), 0) + coalesce(sum(punched_bytes), 0) + coalesce(sum(total_bytes - live_bytes - punched_bytes) FILTER (WHERE took), 0) AS BIGINT) AS reclaimed_bytes
+        FROM act LEFT JOIN (SELECT seg, took FROM walk WHERE took) USING (seg)""",
+)(lambda v: G.stats(_planned(v).crossJoin(F.broadcast(v.epoch)), BUDGET).select(*big("removed", "compacted", "holes", "punched_bytes", "records_moved", "moved_bytes", "reclaimed_bytes")))
 query("compact_apply", "SELECT gen, CASE WHEN action = 'compact' THEN 1000000 ELSE seg END AS seg FROM seg JOIN pln USING (seg) WHERE action <> 'compact' OR seg.live")(
-    lambda v: G.compacted(v.seg, G.plan(v.seg).where("action = 'compact'"), 1_000_000).select("gen", "seg")
+    lambda v: G.compacted(v.seg, G.acted(S.triage(v.seg)).where("action = 'compact'"), 1_000_000).select("gen", "seg")
 )
 query("bucket_advance", "SELECT seg, CASE WHEN seg % 3 = 0 THEN 'active' WHEN seg % 3 = 1 THEN 'active' ELSE 'stable' END AS bucket FROM tri")(
     lambda v: G.advanced_buckets(S.segment_totals(v.seg).withColumn("bucket", F.element_at(F.array(F.lit("young"), F.lit("active"), F.lit("stable")), (F.col("seg") % 3 + 1).cast("int"))), 2).select("seg", "bucket")
@@ -162,8 +175,8 @@ query("demote_candidates", "SELECT * FROM rat WHERE ratio > 0.25")(lambda v: T.d
 query("demote_writeback", "SELECT c.gen, (SELECT max(gen) FROM rec) + row_number() OVER (ORDER BY c.gen) AS new_gen, (SELECT max(epoch_ts) + 1 FROM rec) AS epoch_ts FROM cold c SEMI JOIN (SELECT * FROM rat WHERE ratio > 0.25) r USING (rx, rz) ANTI JOIN inv USING (x, z, type_id)")(
     lambda v: T.demote_writeback(v.cold, v.invalid, v.head).select("gen", *big("new_gen"), "epoch_ts")
 )
-query("tier_stats", "SELECT count(*) FILTER (WHERE ratio > 0.25) AS demoted, count(*) FILTER (WHERE NOT ratio > 0.25) AS kept, CAST(coalesce(sum(b) FILTER (WHERE NOT ratio > 0.25), 0) AS BIGINT) AS cold_bytes FROM rat JOIN (SELECT rx, rz, sum(rb) AS b FROM cold GROUP BY ALL) USING (rx, rz)")(
-    lambda v: T.tier_stats(v.cold, v.invalid)
+query("tier_stats", "SELECT (SELECT count(*) FROM (SELECT DISTINCT rx, rz FROM hla SEMI JOIN hst USING (rx, rz) ANTI JOIN (SELECT * FROM hla WHERE corrupt) b USING (rx, rz))) AS promoted, count(*) FILTER (WHERE ratio > 0.25) AS demoted, count(*) FILTER (WHERE NOT ratio > 0.25) AS kept, CAST(coalesce(sum(b) FILTER (WHERE NOT ratio > 0.25), 0) AS BIGINT) AS cold_bytes FROM rat JOIN (SELECT rx, rz, sum(rb) AS b FROM cold GROUP BY ALL) USING (rx, rz)")(
+    lambda v: T.tier_stats(v.cold, v.invalid).crossJoin(T.promote_plan(v.history, v.history_stable).agg(F.count_distinct("rx", "rz").alias("promoted")))
 )
 query(
     "reconcile_cold",
@@ -272,10 +285,7 @@ query("comp_id_unpack", "SELECT gen, CAST(gen % 256 AS INT) AS comp_id, CAST(gen
 )
 query("codec_dispatch", "SELECT gen, CASE gen % 2 WHEN 0 THEN 'none' ELSE 'zstd' END AS codec FROM rec")(lambda v: v.rec.select("gen", X.codec_name((F.col("gen") % 2).cast("int")).alias("codec")))
 query("varint_len", "SELECT gen, CASE WHEN plen < 128 THEN 1 WHEN plen < 16384 THEN 2 ELSE 3 END AS n FROM rec")(lambda v: v.rec.select("gen", X.varint_length(F.col("plen")).alias("n")))
-query("human_bytes", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec WHERE gen % 7 = 0 AND plen * gen < 1073741824)")(
-    lambda v: v.rec.where("gen % 7 = 0 and plen * gen < 1073741824").select("gen", X.human_bytes(F.col("plen") * F.col("gen")).alias("shown"))
-)
-query("human_bytes_log", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE printf('%.1f GiB', floor(n / 1073741824 * 10 + 0.5) / 10) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec)")(
+query("human_bytes", "SELECT gen, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE printf('%.1f GiB', floor(n / 1073741824 * 10 + 0.5) / 10) END AS shown FROM (SELECT gen, plen * gen AS n FROM rec)")(
     lambda v: v.rec.select("gen", X.human_bytes(F.col("plen") * F.col("gen")).alias("shown"))
 )
 query("cache_sim", None)(lambda v: X.simulated_cache(v.seg.select("gen", "seg", "rb"), 64 * SEGMENT))
