@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,24 +68,34 @@ def simulated_cache(trace: DataFrame, budget: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("gen")
-        pages: OrderedDict[int, list] = OrderedDict()
-        held, hits, misses, evicted, hand = 0, 0, 0, 0, None
+        size_of, marked, newer, older = {}, {}, {}, {}
+        oldest, newest, hand = None, None, None
+        held, hits, misses, evicted = 0, 0, 0, 0
         for seg, size in zip(table["seg"].to_pylist(), table["rb"].to_pylist(), strict=True):
-            if seg in pages:
-                pages[seg][1] = True
+            if seg in size_of:
+                marked[seg] = True
                 hits += 1
                 continue
             misses += 1
-            while pages and held + size > budget:
-                order = list(pages)
-                i = order.index(hand) if hand in pages else 0
-                while pages[order[i]][1]:
-                    pages[order[i]][1] = False
-                    i = (i + 1) % len(order)
-                held -= pages.pop(order[i])[0]
+            while size_of and held + size > budget:
+                at = oldest if hand is None else hand
+                while marked[at]:
+                    marked[at] = False
+                    at = oldest if newer[at] is None else newer[at]
+                hand = newer[at]
+                before, after = older.pop(at), newer.pop(at)
+                oldest, newest = (after if before is None else oldest), (before if after is None else newest)
+                if before is not None:
+                    newer[before] = after
+                if after is not None:
+                    older[after] = before
+                held -= size_of.pop(at)
+                del marked[at]
                 evicted += 1
-                hand = order[i + 1] if i + 1 < len(order) else None
-            pages[seg] = [size, False]
+            size_of[seg], marked[seg], newer[seg], older[seg] = size, False, None, newest
+            if newest is not None:
+                newer[newest] = seg
+            oldest, newest = (seg if oldest is None else oldest), seg
             held += size
         return pa.table({"hits": [hits], "misses": [misses], "evicted": [evicted], "held_bytes": [held]})
 

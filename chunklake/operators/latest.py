@@ -74,8 +74,16 @@ def version_history(df: DataFrame) -> DataFrame:
 
 
 def with_liveness(df: DataFrame) -> DataFrame:
-    """live: the record is the latest version of its key, readable or not."""
-    return df.withColumn("live", F.col("gen") == F.max("gen").over(W.partitionBy(*keys(df))))
+    """live: the record is the latest version of its key, readable or not.
+
+    Found on headers and joined back by version, which is unique: no task holds all versions of a hot key.
+    """
+    d = dims(df)
+    top = latest_gens(df).select(*(F.col(c).alias(f"_{c}") for c in (*d, "gen")))
+    on = F.lit(True)
+    for c in (*d, "gen"):
+        on &= F.col(c) == F.col(f"_{c}")
+    return df.join(top, on, "left").select(*df.columns, F.col("_gen").isNotNull().alias("live"))
 
 
 def point_read(df: DataFrame, x: int, z: int, type_id: int) -> DataFrame:

@@ -202,14 +202,14 @@ query("maintenance_ticks", "SELECT epoch_ts, count(*) AS writes, epoch_ts % 30 =
 
 # --- archives --------------------------------------------------------------------------------------------------------------
 
-query("superfeatures", "SELECT gen, min_h, max_h FROM sfe")(lambda v: A.with_superfeature(v.cold).select("gen", "min_h", "max_h"))
-query("archive_layout", "SELECT gen, rx, rz, rn, block, in_block FROM lay")(lambda v: A.layout(v.cold).select("gen", "rx", "rz", *big("rn", "block", "in_block")))
+query("superfeatures", "SELECT gen, min_h, max_h FROM sfe")(lambda v: A.with_superfeature(v.cold, "md5").select("gen", "min_h", "max_h"))
+query("archive_layout", "SELECT gen, rx, rz, rn, block, in_block FROM lay")(lambda v: A.layout(v.cold, "md5").select("gen", "rx", "rz", *big("rn", "block", "in_block")))
 query("archive_offsets", "SELECT gen, CAST(40 + coalesce(sum(rb) OVER (PARTITION BY rx, rz, block ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_in_block FROM lay")(
-    lambda v: A.with_offsets(A.layout(v.cold)).select("gen", *big("offset_in_block"))
+    lambda v: A.with_offsets(A.layout(v.cold, "md5")).select("gen", *big("offset_in_block"))
 )
-query("block_offsets", "SELECT * FROM blk")(lambda v: A.blocks(A.layout(v.cold)).select("rx", "rz", *big("block", "records", "bytes", "file_offset")))
-query("slot_table", "SELECT gen, block, row_number() OVER (PARTITION BY rx, rz ORDER BY z_rel, x_rel, type_id) - 1 AS slot FROM lay")(lambda v: A.slot_table(A.layout(v.cold)).select("gen", *big("block", "slot")))
-query("archive_summary", "SELECT rx, rz, count(*) AS blocks, CAST(sum(records) AS BIGINT) AS slots, CAST(sum(bytes) AS BIGINT) AS plain_bytes, max(bytes) AS largest_block FROM blk GROUP BY ALL")(lambda v: A.summary(A.layout(v.cold)))
+query("block_offsets", "SELECT * FROM blk")(lambda v: A.blocks(A.layout(v.cold, "md5")).select("rx", "rz", *big("block", "records", "bytes", "file_offset")))
+query("slot_table", "SELECT gen, block, row_number() OVER (PARTITION BY rx, rz ORDER BY z_rel, x_rel, type_id) - 1 AS slot FROM lay")(lambda v: A.slot_table(A.layout(v.cold, "md5")).select("gen", *big("block", "slot")))
+query("archive_summary", "SELECT rx, rz, count(*) AS blocks, CAST(sum(records) AS BIGINT) AS slots, CAST(sum(bytes) AS BIGINT) AS plain_bytes, max(bytes) AS largest_block FROM blk GROUP BY ALL")(lambda v: A.summary(A.layout(v.cold, "md5")))
 
 # --- integrity and reports -------------------------------------------------------------------------------------------------
 
