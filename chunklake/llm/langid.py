@@ -4,9 +4,10 @@ First the language's family is predicted (linear support vector machines, one ag
 one linear support vector machines separate the languages of that family. Features are hashed byte bigrams and trigrams of
 the whole text. The score is the family's probability times the language's, each from the machines' summed margins.
 
-Fitting uses a bounded sample: at most about ``per_language`` labelled documents of each language (by a hash of doc_id) and the
-``most_languages`` languages with most documents; so the driver holds a bounded matrix whatever the corpus. The model
-goes to the tasks in their code: (families + pairs) * DIMS numbers.
+Fitting uses a bounded sample: about ``per_language`` labelled documents of each language (by a hash of doc_id), fewer where there are so
+many languages that they would be more than ``most_rows`` in total; so the driver holds ``most_rows`` * DIMS numbers at most,
+whatever the corpus. Every language is learned. The ``most_languages`` most frequent ones get machines; all others are one family (REST)
+in which the nearest mean of a language's vectors decides, as pairs of machines would grow with the square of their number.
 
 Cases: null text, or text without a letter, gives ``und`` and score 0; rows without a language or text are not learned from; one
 known language only: it is predicted with score 1; no labelled row at all: ``und``; repeated rows get one answer each, the same;
@@ -15,7 +16,6 @@ other columns aren't read (``identified`` keeps them).
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -47,6 +47,7 @@ FAMILIES = {
     "semitic": "am ar he mt",
     "malayic": "id jv ms su tl",
 }
+REST = "(rest)"
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
@@ -104,10 +105,29 @@ class OneVersusOne:
         return z / z.sum(1, keepdims=True)
 
 
+@dataclass
+class NearestMean:
+    """For very many classes: one vector each, however many there are."""
+
+    classes: list[str]
+    means: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, labels: np.ndarray) -> NearestMean:
+        classes = sorted(set(labels.tolist()))
+        means = np.stack([x[labels == c].mean(0) for c in classes])
+        return cls(classes, (means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = 20.0 * (x @ self.means.T).astype(np.float64)
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
+
+
 @dataclass
 class Model:
     families: OneVersusOne
-    languages: dict[str, OneVersusOne]
+    languages: dict[str, OneVersusOne | NearestMean]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language, family and score of each row."""
@@ -135,17 +155,19 @@ def vectors(texts: list[bytes]) -> np.ndarray:
     return ngrams(texts, LETTERS, DIMS)
 
 
-def fit(docs: DataFrame, per_language: int = 1000, most_languages: int = 200) -> Model:
+def fit(docs: DataFrame, per_language: int = 1000, most_languages: int = 50, most_rows: int = 20_000) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
     if not counts:
         return Model(OneVersusOne([]), {})
-    share = F.coalesce(*(F.when(F.col("lang") == F.lit(r.lang), F.lit(per_language / r.n)) for r in counts), F.lit(0.0))
-    labels, x = collected(labelled.where(unit_hash(21) < share), F.col("lang"), vectors)
-    seen = Counter(labels)
+    wanted = min(per_language, most_rows / len(counts))
+    shares = docs.sparkSession.createDataFrame([(r.lang, wanted / r.n) for r in counts], "lang string, share double")
+    sampled = labelled.join(F.broadcast(shares.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).where(unit_hash(21) < F.col("share"))
+    labels, x = collected(sampled, F.col("lang"), vectors)
+    own = {r.lang for r in counts[:most_languages]}
     y = np.array(labels, object)
-    fam = np.array([family(v) for v in labels], object)
-    languages = {f: OneVersusOne.fit(x[fam == f], y[fam == f]) for f in sorted({family(v) for v in seen})}
+    fam = np.array([family(v) if v in own else REST for v in labels], object)
+    languages = {f: (NearestMean if f == REST else OneVersusOne).fit(x[fam == f], y[fam == f]) for f in sorted(set(fam.tolist()))}
     return Model(OneVersusOne.fit(x, fam), languages)
 
 

@@ -1,15 +1,19 @@
 """Quality classifier by positive-unlabelled learning.
 
 A logistic model minimises the non-negative unbiased risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with trusted
-positives, unlabelled text and an estimated class prior: the share of label 1 among the labelled documents. Where the second
-term falls below zero its gradient is turned round, so that the model doesn't fit the positives among the unlabelled texts.
+positives, unlabelled text and an estimated class prior. Where the second term falls below zero its gradient is turned round, so
+that the model doesn't fit the positives among the unlabelled texts. Label 0 is never learned from.
+
+The prior is estimated from positives and unlabelled texts alone: a first model tells them apart; among the texts that it was not
+fitted on, the share of unlabelled over the share of positives above a threshold is at least the prior, and nearly equals it
+where the threshold leaves hardly any negatives. The threshold with the least upper bound of that ratio is taken.
 
 Features of the whole text: trigrams of character classes (lower case, upper case, digit, beyond ASCII, each other character
 itself), hashed, and bins of the share of distinct words, of words that repeat the word before, of the number of
 words, their mean length and the share of upper case.
 
 Fitting uses bounded samples by a hash of doc_id: about ``positives`` trusted and ``unlabelled`` other documents, whatever the
-corpus; so the driver holds a bounded matrix. Statistics for the prior cover all labels.
+corpus; so the driver holds a bounded matrix.
 
 Cases: null and empty texts are scored like any text, from their bins; no positive label: every score is the prior, 0; rows
 repeated are scored alike; a doc_id with several labels is trusted if one of them is 1; other columns aren't read.
@@ -17,7 +21,7 @@ repeated are scored alike; a doc_id with several labels is trusted if one of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -69,40 +73,73 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((x @ self.weights).astype(np.float64) + self.bias, -60, 60)))
 
 
+def _descended(rows: int, gradient: Callable[[np.ndarray], np.ndarray], steps: int, rate: float) -> np.ndarray:
+    """Weights after ``steps`` steps of Adam."""
+    w = np.zeros(rows)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        g = gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+
+
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, ridge: float = 1e-5) -> Model:
-    """Minimises the non-negative risk with logistic loss (Adam, all rows in each step)."""
+    """Minimises the non-negative risk with logistic loss (all rows in each step)."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH, np.float32), -60.0, 0.0)
-    p = np.hstack([positive, np.ones((len(positive), 1), np.float32)])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), np.float32)])
-    w = np.zeros(p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
+    p, u = _with_one(positive), _with_one(unlabelled)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
         zp, zu = p @ w.astype(np.float32), u @ w.astype(np.float32)
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_positive = prior * (p.T @ (sp - 1)) / len(p)
         g_negative = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
-        g = (g_positive + g_negative if negative >= 0 else -g_negative) + ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return (g_positive + g_negative if negative >= 0 else -g_negative) + ridge * w
+
+    w = _descended(p.shape[1], gradient, steps, rate)
     return Model(w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from texts that the model that ranks them was not fitted on (every second one)."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    p, u = _with_one(positive), _with_one(unlabelled)
+    fit_p, fit_u = p[::2], u[::2]
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        sp, su = (1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -60, 60))) for x in (fit_p, fit_u))
+        return (fit_p.T @ (sp - 1)) / len(fit_p) + (fit_u.T @ su) / len(fit_u) + ridge * w
+
+    w = _descended(p.shape[1], gradient, steps, rate)
+    by_p, by_u = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
+    above_p = 1 - np.arange(len(by_p)) / len(by_p)  # share of positives at or above each one
+    above_u = 1 - np.searchsorted(by_u, by_p, side="left") / len(by_u)
+    slack = np.sqrt(np.log(4 / doubt) / 2 / len(by_u)) + np.sqrt(np.log(4 / doubt) / 2 / len(by_p))
+    at = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> Model:
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, good = marked.agg(F.count(F.lit(1)), F.sum((F.col("quality") == 1).cast("long"))).first()
-    if not n or not good:
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    n = good.count()
+    if not n:
         return nn_pu(np.zeros((0, WIDTH)), np.zeros((0, WIDTH)), 0.0)
-    prior = min(0.99, good / n)
     total = docs.count()
-    trusted = marked.where((F.col("quality") == 1) & (unit_hash(31) < positives / good)).select(F.col("doc_id").alias("trusted"))
+    trusted = good.where(unit_hash(31) < positives / n).select(F.col("doc_id").alias("trusted"))
     # about ``positives`` rows: the bound is a parameter
     both = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted"), "left")
     free = unit_hash(32) < unlabelled / max(1, total)
     kinds, x = collected(both.where(F.col("trusted").isNotNull() | free), F.concat(F.col("trusted").isNotNull().cast("int").cast("string"), free.cast("int").cast("string")), vectors)
     kinds = np.array(kinds, object)
-    return nn_pu(x[np.isin(kinds, ["10", "11"])], x[np.isin(kinds, ["01", "11"])], prior)
+    p, u = x[np.isin(kinds, ["10", "11"])], x[np.isin(kinds, ["01", "11"])]
+    return nn_pu(p, u, estimated_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

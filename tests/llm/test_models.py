@@ -26,6 +26,9 @@ def test_languages_held_out_and_awkward_rows(spark):
     assert not {104, 105, 106, 107, 108} & {r.doc_id for r in kept.collect()}
     assert kept.count() == len(data.documents()) - 6
     assert langid.fit(data.empty(spark)).families.classes == [] and langid.predict(data.empty(spark), model).count() == 0
+    few = langid.predict(df, langid.fit(df, most_languages=2, most_rows=400)).join(df.select("doc_id", "lang"), "doc_id")
+    assert few.select("lang_pred").distinct().count() >= 4  # no language is left out
+    assert few.where("lang_pred = lang").count() > 0.8 * few.count()
     one = langid.fit(df.where("lang = 'en'"))
     assert {r.lang_pred for r in langid.predict(df.where("doc_id < 9"), one).collect()} == {"en"}
 
@@ -52,6 +55,9 @@ def test_quality_held_out(spark):
     odd = quality.score(data.frame(spark), model)
     assert odd.count() == len(data.documents()) and odd.where("score is null or score < 0 or score > 1").count() == 0
     assert quality.score(data.empty(spark), model).count() == 0
+    share = np.mean([q for i, q, _ in labels if i % 5])
+    assert abs(model.prior - share) < 0.2  # from positives and unlabelled texts alone
+    assert quality.fit(df.where("doc_id % 5 > 0"), lab.where("doc_id % 5 > 0 and quality = 1")).prior == model.prior
     none = quality.fit(df, lab.limit(0))
     assert quality.score(df, none).where("score > 0.01").count() == 0
 
