@@ -12,6 +12,9 @@ list of shards and those moments. The number of a row in its shard is its rank a
 in the shard. Rows of one place are ranked together, n / SLOTS of them: a table with more than about 10^12 rows needs a
 larger ``slots``.
 
+The key is doc_id and text together, so that a large group of equal texts is spread over all places and shards: the law ``rows``
+leaves no room for keeping such a group in one shard.
+
 Cases: null text has no bytes; null doc_id is a key like any other; rows equal in id and text are interchangeable; with
 fewer rows than shards the last shards stay empty; other columns aren't read (shard_table keeps them; its columns shard and
 slot replace input columns of these names).

@@ -173,6 +173,27 @@ def test_licenses_against_brute_force(spark):
     assert (empty.n_words, empty.labels, empty.score) == (0, "", 0.0)
 
 
+BASE = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    p AS (SELECT * FROM (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) t(words, label)),
+    h AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(words) - 1] = words)) - 1 AS place FROM d, p WHERE list_has_all(w, words)),
+    g AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def test_base_columns_match_sql(spark):
+    import duckdb
+
+    from chunklake.llm import queries
+
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    got = sorted(tuple(r) for r in queries.op9_license_join(spark, at).select(*names).collect())
+    assert got == sorted(con.execute(BASE).fetchall()) and sum(r[2] > 0 for r in got) > 5
+
+
 def test_a_long_text_full_of_notices_is_linear():
     import time
 

@@ -39,6 +39,22 @@ def test_routes_match_a_sequential_ring(spark):
         assert got[r.doc_id] == s
 
 
+def test_the_ring_goes_clockwise(spark):
+    """Each place's list of shards, told from where the shards stand."""
+    from pyspark.sql import functions as F
+
+    shards, nodes, slots = 6, 5, 128
+    own = spark.range(shards * nodes).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).cast("int").alias("node"))
+    stands = defaultdict(set)
+    for r in own.select("shard", sharding.place(slots, F.col("shard"), F.col("node")).alias("place")).collect():
+        stands[r.shard].add(r.place)
+    rows = sharding.ring(spark, shards, nodes, slots).collect()
+    assert sorted(r.place for r in rows) == list(range(slots)) and sorted(r.turn for r in rows) == list(range(slots))
+    for r in rows:
+        way = [min((p - r.place) % slots for p in stands[s]) for s in r.order]
+        assert sorted(r.order) == list(range(shards)) and way == sorted(way)
+
+
 def test_little_moves_when_a_shard_is_added(spark):
     rows = [(i, f"text {i}", "en", "a", 1) for i in range(4000)]
     df = data.frame(spark, rows)
