@@ -49,7 +49,6 @@ class Config:
     gc_budget: int = 32 << 20
     gc_min_hole: int = 64 << 10
     force_external: bool = False
-    segment_bytes: int = 64 << 20
 
 
 def template(prefix: str = "store") -> str:
@@ -144,6 +143,8 @@ def advice(c: Config) -> list[str]:
         out.append("the store is enabled but reads are forced to the external files")
     if not c.cold_enabled and c.cold_compression:
         out.append("cold compression has no effect without the cold tier")
+    if c.threads != 1 or c.cache_mb != 512:
+        out.append("threads and the index cache have no effect: tasks compress in parallel, and files are read through the session's cache")
     if not c.hot_compression and not c.cold_compression:
         out.append("nothing is compressed")
     if not c.gc_enabled and c.gc_threshold < 0.5:

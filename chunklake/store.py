@@ -205,7 +205,8 @@ class Store:
     def _put(self, df: DataFrame, kind: str, state: dict, replaces: list[str] = [], durable: bool = False) -> str:  # noqa: B006
         """Writes a part and then its note, which makes it whole. state: what the commit that names it will say."""
         name = f"{kind}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", self.config.cold_level if kind == "cold" else self.config.hot_level).parquet(str(self.root / name))
+        codec = "zstd" if kind != "cold" or self.config.cold_compression else "none"
+        df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", self.config.cold_level if kind == "cold" else self.config.hot_level).parquet(str(self.root / name))
         if durable:
             for p in [*(self.root / name).iterdir(), self.root / name]:
                 self._sync(p)
@@ -386,9 +387,11 @@ class Store:
             stable = T.stable_regions(hot, self.spark.range(1).select(F.lit(s["epoch"]).alias("epoch")), self.config.stable_flushes)
             fresh = stable.join(self.cold().select(*R).distinct(), R, "left_anti")
             rows = T.promote_plan(hot, fresh).withColumn("upto", F.lit(s["next_gen"] - 1).cast("bigint"))
-            # the order is that of the plain payloads' content, not of their compressed bytes
+            # plain payloads in the order of their content: the file's own compression works on pages of similar records, not on each alone
             plain = decompressed("payload", F.when(F.col("plen") == 0, F.lit(0)).otherwise(F.col("comp_id")))
-            laid = A.layout(rows.withColumn("payload", plain)).select("gen", "rn", "block")
+            rows = rows.withColumn("payload", plain).withColumns({"comp_id": F.lit(0), "plen": F.octet_length("payload").cast("bigint"), "payload_hash": payload_hash("payload")})
+            rows = rows.withColumn("rb", F.col("plen") + 40)
+            laid = A.layout(rows).select("gen", "rn", "block")
             rows = rows.join(laid, "gen").repartitionByRange(*R, "block").sortWithinPartitions(*R, "rn")
             part = self._put(rows.select(*COLUMNS, "rx", "rz", "x_rel", "z_rel", "block", "upto"), "cold", s)
             promoted = self.spark.read.parquet(str(self.root / part)).select(*R).distinct().count()
