@@ -19,6 +19,9 @@ LOG_ROWS = f"path string, seg_id bigint, {_ENVELOPE}, offset bigint"
 PAGE_ROWS = "path string, x int, z int, type_id int, seg_id bigint, offset bigint, payload_len bigint, gen bigint, comp_id int"
 ARCHIVE_ROWS = f"path string, region_x int, region_z int, x_rel int, z_rel int, block int, offset_in_block bigint, plain_len bigint, {_ENVELOPE}, payload binary, invalid boolean"
 REGION_ROWS = "path string, region_x int, region_z int, x int, z int, nbt binary, timestamp bigint, compression int"
+MANIFEST_ROWS = "path string, copy string, epoch bigint, next_gen bigint, next_seg_id bigint, segments int, cold int, dictionaries int"
+#: Names of a manifest and its copy: fixed values of the format.
+MANIFEST, MANIFEST_COPY = "manifest.vsm", "manifest.vsm.bak"
 FILES = "path string, length bigint"
 #: Rows that go to Spark at a time.
 ROWS = 1024
@@ -84,6 +87,27 @@ def region_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _scan(found, parse, REGION_ROWS)
 
 
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each folder with a manifest: from the manifest itself, or from its copy where that can't be read. Neither can: an error."""
+
+    def chosen(group: pa.Table) -> pa.Table:
+        copies = {r["path"].rsplit("/", 1)[1]: r for r in group.to_pylist()}
+        for name in (MANIFEST, MANIFEST_COPY):
+            try:
+                if name in copies:
+                    m = formats.parse_manifest(copies[name]["content"])
+                    tables = {c: len(m[c]) for c in ("segments", "cold", "dictionaries")}
+                    own = {"path": copies[name]["path"], "copy": name} | {c: m[c] for c in ("epoch", "next_gen", "next_seg_id")} | tables
+                    types = {"path": pa.string(), "copy": pa.string(), **dict.fromkeys(("epoch", "next_gen", "next_seg_id"), pa.int64()), **dict.fromkeys(tables, pa.int32())}
+                    return pa.table({k: pa.array([v], types[k]) for k, v in own.items()})
+            except formats.FormatError:
+                continue
+        raise formats.FormatError(f"{sorted(r['path'] for r in copies.values())}: neither the manifest nor its copy can be read")
+
+    found = files(spark, path, f"{MANIFEST}*").where(F.regexp_extract("path", r"[^/]*$", 0).isin(MANIFEST, MANIFEST_COPY))
+    return found.select("path", "content", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).groupBy("folder").applyInArrow(lambda t: chosen(t.select(["path", "content"])), MANIFEST_ROWS)
+
+
 def directory_size(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
@@ -127,3 +151,39 @@ def write_archives(slots: DataFrame, root: str, level: int = 9) -> DataFrame:
         return pa.table({"path": [own], "length": [len(data)]})
 
     return slots.groupBy(*d, "rx", "rz").applyInArrow(write, FILES)
+
+
+def write_segments(records: DataFrame, root: str) -> DataFrame:
+    """Writes one segment file for each seg of records (seg, gen, x, z, type_id, epoch_ts, comp_id, payload), records in the order of gen;
+    returns gen, seg, offset and payload_hash of each, as logs and index pages need them. A task holds one segment."""
+    d = dims(records)
+    schema = ", ".join([*(f"{c} string" for c in d), "seg bigint, gen bigint, offset bigint, payload_hash bigint"])
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("gen").to_pylist()
+        data, out = bytearray(formats.segment_header(rows[0]["seg"])), []
+        for r in rows:
+            own = formats.record(r["payload"] or b"", **{n: r[n] for n in ("x", "z", "type_id", "gen", "epoch_ts", "comp_id")})
+            out.append({c: r[c] for c in (*d, "seg", "gen")} | {"offset": len(data), "payload_hash": formats.signed(formats.record_hash(r["payload"] or b""))})
+            data += own
+        _put("/".join([root.rstrip("/"), *(str(rows[0][c]) for c in d), f"seg-{rows[0]['seg']}.vseg"]), bytes(data))
+        return pa.Table.from_pylist(out, pa.schema([*((c, pa.string()) for c in d), *((c, pa.int64()) for c in ("seg", "gen", "offset", "payload_hash"))]))
+
+    return records.groupBy(*d, "seg").applyInArrow(write, schema)
+
+
+def write_epoch_logs(entries: DataFrame, root: str) -> DataFrame:
+    """Writes one log for each epoch of entries (seg, offset, gen, x, z, type_id, epoch_ts, comp_id, payload_len, payload_hash): the log is
+    cut at each flush. Entries are in the order of gen; returns paths and lengths."""
+    d = dims(entries)
+    fields = ("x", "z", "type_id", "gen", "epoch_ts", "comp_id", "payload_len")
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("gen").to_pylist()
+        envelope = lambda r: formats.envelope(record_ver=1, payload_hash=r["payload_hash"] % 2**64, **{n: r[n] for n in fields})
+        data = b"".join(formats.log_entry(r["seg"], envelope(r), r["offset"]) for r in rows)
+        own = "/".join([root.rstrip("/"), *(str(rows[0][c]) for c in d), f"epoch-{rows[0]['epoch_ts']}.velog"])
+        _put(own, data)
+        return pa.table({"path": [own], "length": [len(data)]})
+
+    return entries.groupBy(*d, "epoch_ts").applyInArrow(write, FILES)

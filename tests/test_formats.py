@@ -3,6 +3,7 @@ import gzip
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chunklake.functions import codecs
 from chunklake.sources import formats as f
@@ -160,3 +161,40 @@ def test_scans_on_files(spark, tmp_path):
     r = readers.region_files(spark, at).first()
     assert (r.x, r.z, bytes(r.nbt), r.timestamp) == (-29, 4, b"n", 9)
     assert readers.directory_size(spark, at).first().files == 6
+
+
+def test_manifest_falls_back_to_its_copy(spark, tmp_path):
+    good = lambda n: f.manifest(n, 5, 2, [], [])
+    for name, main, copy in (("a", good(3), good(2)), ("b", b"broken", good(2)), ("c", None, good(1))):
+        (tmp_path / name).mkdir()
+        for file, data in ((readers.MANIFEST, main), (readers.MANIFEST_COPY, copy)):
+            if data:
+                (tmp_path / name / file).write_bytes(data)
+    got = {r.path.split("/")[-2]: (r.copy, r.epoch) for r in readers.manifests(spark, tmp_path.as_uri()).collect()}
+    assert got == {"a": (readers.MANIFEST, 3), "b": (readers.MANIFEST_COPY, 2), "c": (readers.MANIFEST_COPY, 1)}
+    (tmp_path / "b" / readers.MANIFEST_COPY).write_bytes(b"too")
+    with pytest.raises(Exception, match="neither"):
+        readers.manifests(spark, tmp_path.as_uri()).collect()
+
+
+def test_segments_and_logs_written_and_scanned(spark, tmp_path):
+    rows = [(i // 4, i + 1, i - 3, -i, i % 3, i // 5, 0, bytes([i]) * (i * 7 % 20)) for i in range(12)]
+    df = spark.createDataFrame(rows, "seg bigint, gen bigint, x int, z int, type_id int, epoch_ts int, comp_id int, payload binary")
+    at = (tmp_path / "s").as_uri()
+    placed = readers.write_segments(df, at).cache()
+    assert placed.count() == 12
+    scanned = readers.segments(spark, at).collect()
+    assert sorted((r.seg_id, r.gen, r.x, r.z, r.type_id, bytes(r.payload)) for r in scanned) == sorted((s, g, x, z, t, p) for s, g, x, z, t, _, _, p in rows)
+    assert not any(r.is_corrupt for r in scanned)
+    entries = df.withColumn("payload_len", F.octet_length("payload")).drop("payload").join(placed, ["seg", "gen"])
+    assert readers.write_epoch_logs(entries, at).count() == 3
+    logged = {(r.seg_id, r.gen, r.offset, r.payload_hash) for r in readers.epoch_log(spark, at).collect()}
+    assert logged == {(r.seg_id, r.gen, r.offset, r.payload_hash) for r in scanned}
+
+
+def test_region_slots(tmp_path):
+    whole = bytearray(f.region_file([{"x_rel": 1, "z_rel": 0, "nbt": b"n", "timestamp": 0}]))
+    whole[8:12] = (2 << 8).to_bytes(4, "big")  # a place without sectors is no chunk
+    assert len(f.parse_region(bytes(whole))) == 1
+    with pytest.raises(f.FormatError):
+        f.parse_region(b"")
