@@ -93,19 +93,24 @@ def triage(df: DataFrame) -> DataFrame:
     )
 
 
-def region_bitmap(df: DataFrame) -> DataFrame:
-    """Set bits of each segment's existence map per known type: 1024 places, coordinates folded by 32."""
+def bitmaps(df: DataFrame) -> DataFrame:
+    """Each segment's existence map per known type: 1024 places, coordinates folded by 32."""
     place = F.col("x").bitwiseAND(31) * 32 + F.col("z").bitwiseAND(31)
-    built = df.where(F.col("type_id") < 3).groupBy(*dims(df), "seg", "type_id").agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
-    return built.select(*dims(df), "seg", "type_id", F.bitmap_count("bits").alias("bits"))
+    return df.where(F.col("type_id") < 3).groupBy(*dims(df), "seg", "type_id").agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+
+
+def region_bitmap(df: DataFrame) -> DataFrame:
+    """Set bits of each segment's existence map per known type."""
+    return bitmaps(df).select(*dims(df), "seg", "type_id", F.bitmap_count("bits").alias("bits"))
 
 
-def may_hold(df: DataFrame, x: int, z: int, type_id: int) -> DataFrame:
-    """Segments whose map can hold a key: no false negatives, and unknown types always may be there."""
+def may_hold(df: DataFrame, maps: DataFrame, x: int, z: int, type_id: int) -> DataFrame:
+    """Segments whose map (of ``bitmaps``) can hold a key: no false negatives, and unknown types always may be there."""
     if type_id > 2:
         return df.select(*dims(df), "seg").distinct()
-    hit = (F.col("type_id") == type_id) & (F.col("x").bitwiseAND(31) == (x & 31)) & (F.col("z").bitwiseAND(31) == (z & 31))
-    return df.where(hit).select(*dims(df), "seg").distinct()
+    place = (x & 31) * 32 + (z & 31)
+    byte = F.conv(F.hex(F.substring("bits", place // 8 + 1, 1)), 16, 10).cast("int")
+    return maps.where((F.col("type_id") == type_id) & (byte.bitwiseAND(1 << place % 8) != 0)).select(*dims(maps), "seg")
 
 
 def sort_violations(df: DataFrame) -> DataFrame:

@@ -86,3 +86,10 @@ def replayable(log: DataFrame, segment_sizes: DataFrame, cold_regions: DataFrame
     x = region_project(log.join(segment_sizes.select(*d, "seg", "size"), [*d, "seg"]))
     whole = (F.col("offset") < F.col("size")) & (F.col("offset") + F.col("rb") <= F.col("size"))
     return x.where(whole).join(cold_regions.select(*_region(x)), _region(x), "left_anti")
+
+
+def cold_point_read(cold: DataFrame, invalid: DataFrame, x: int, z: int, type_id: int) -> DataFrame:
+    """The cold slot of one key; no row if there is none or if it is invalid. Only the key's region is read."""
+    key = (F.col("x") == x) & (F.col("z") == z) & (F.col("type_id") == type_id)
+    own = cold.where((F.col("rx") == x >> 5) & (F.col("rz") == z >> 5) & key)
+    return own.join(invalid.where(key).select("x", "z", "type_id"), ["x", "z", "type_id"], "left_anti")

@@ -20,7 +20,7 @@ from chunklake.plans.record_log import SEGMENT, Views, sql
 
 K = ["x", "z", "type_id"]
 PACK, BUDGET, CHUNK, HOLE = 65536, 20000, 100, 256
-POINT, REGION = (3, 1, 0), (0, 0)
+POINT, COLD_POINT, REGION = (3, 1, 0), (-32, -4, 1), (0, 0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +54,7 @@ query("type_dim_join", "SELECT gen, type_id, dir, type_name FROM rec JOIN typ US
 query("tombstones", "SELECT x, z, type_id, gen FROM lat WHERE plen = 0")(lambda v: L.tombstones(L.latest(v.rec)).select(*K, "gen"))
 query("point_read", "SELECT gen, payload FROM lat WHERE x = 3 AND z = 1 AND type_id = 0 AND NOT corrupt")(lambda v: L.point_read(v.rec, *POINT).select("gen", "payload"))
 query("region_scan", "SELECT x, z, type_id, gen FROM lat WHERE rx = 0 AND rz = 0")(lambda v: L.region_scan(v.rec, *REGION).select(*K, "gen"))
-query("cold_point_read", "SELECT c.x, c.z, c.type_id, c.gen FROM cold c ANTI JOIN inv USING (x, z, type_id) WHERE c.z = 1")(lambda v: v.cold.where("z = 1").join(v.invalid.select(*K), K, "left_anti").select(*K, "gen"))
+query("cold_point_read", "SELECT c.x, c.z, c.type_id, c.gen FROM cold c ANTI JOIN inv USING (x, z, type_id) WHERE c.x = -32 AND c.z = -4 AND c.type_id = 1")(lambda v: T.cold_point_read(v.cold, v.invalid, *COLD_POINT).select(*K, "gen"))
 
 # --- versions --------------------------------------------------------------------------------------------------------------
 
@@ -104,7 +104,7 @@ query(
         SELECT cum.gen, max(lo.n) AS seg FROM cum JOIN lo ON cum.c > lo.lo GROUP BY cum.gen""",
 )(lambda v: S.greedy_packed(v.rec, PACK))
 query("region_bitmap", "SELECT seg, type_id, count(DISTINCT x_rel * 32 + z_rel) AS bits FROM seg WHERE type_id < 3 GROUP BY ALL")(lambda v: S.region_bitmap(v.seg))
-query("bitmap_prefilter", "SELECT DISTINCT seg FROM seg WHERE type_id = 0 AND x_rel = 3 AND z_rel = 1")(lambda v: S.may_hold(v.seg, *POINT))
+query("bitmap_prefilter", "SELECT DISTINCT seg FROM seg WHERE type_id = 0 AND x_rel = 3 AND z_rel = 1")(lambda v: S.may_hold(v.seg, S.bitmaps(v.seg), *POINT))
 query(
     "sort_violations",
     "SELECT seg, count(*) FILTER (WHERE bad) AS violations FROM (SELECT seg, (lag(x) OVER w, lag(z) OVER w, lag(type_id) OVER w) >= (x, z, type_id) AND lag(x) OVER w IS NOT NULL AS bad FROM seg WINDOW w AS (PARTITION BY seg ORDER BY gen)) GROUP BY seg",
