@@ -75,13 +75,9 @@ def _totals(rows: DataFrame, keep: list[str], history: int) -> DataFrame:
 
 
 def _joined(rows: DataFrame, sums: DataFrame, key: list[str]) -> DataFrame:
-    """rows with what stands before their group added to what stands before them in it; a null conv_id is a key like others."""
+    """rows with what stands before their group beside what stands before them in it. rows lie by this key already: they stay there."""
     names = ("before_tokens", "before_alone", "before_n", "before_tail")
-    other = sums.select(*(F.col(k).alias(f"_{k}") for k in key), *(F.col(c).alias(f"_{c}") for c in names))
-    on = F.lit(True)
-    for k in key:
-        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(other, on).drop(*(f"_{k}" for k in key))
+    return rows.join(sums.select(*key, *(F.col(c).alias(f"_{c}") for c in names)), key)
 
 
 def positions(turns: DataFrame, half: int, history: int) -> DataFrame:
@@ -89,9 +85,10 @@ def positions(turns: DataFrame, half: int, history: int) -> DataFrame:
     tokens) and, where a window can begin, before (the last turns before it)."""
     turn = "struct<tokens:bigint,role:string,text:string>"
     empty = F.expr(f"cast(array() as array<{turn}>)")
-    t = turns.select("conv_id", F.coalesce("turn", F.lit(NO_TURN)).cast("long").alias("turn"), plain(F.col("role")).alias("role"), plain(F.col("text")).alias("text"))
+    # a struct, so that a null conv_id is equal to itself
+    t = turns.select(F.struct("conv_id").alias("conv"), F.coalesce("turn", F.lit(NO_TURN)).cast("long").alias("turn"), plain(F.col("role")).alias("role"), plain(F.col("text")).alias("text"))
     t = t.withColumn("tokens", word_count(F.col("text")) + MARKS).withColumn("own", F.col("tokens") > half).withColumn("block", F.shiftright("turn", BLOCK_BITS))
-    order = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    order = W.partitionBy("conv", "block").orderBy("turn", "role", "text")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     self = F.struct("tokens", "role", "text")
     back = F.filter(F.array(*(F.lag(self, i).over(order) for i in range(history, 0, -1))), lambda x: x.isNotNull()) if history else empty
@@ -106,16 +103,16 @@ def positions(turns: DataFrame, half: int, history: int) -> DataFrame:
     )
     group = F.shiftright("block", GROUP_BITS).alias("group")
     tail = _last_of(F.concat("back", F.array(self)), history) if history else empty
-    blocks = t.where("last").select("conv_id", "block", group, (F.col("start") + F.col("tokens")).alias("tokens"), "alone", (F.col("at") + 1).alias("n"), tail.alias("tail"))
-    blocks = _summed(blocks, ["conv_id", "group"], "block", history, empty)
-    groups = _summed(_totals(blocks, ["conv_id", "group"], history), ["conv_id"], "group", history, empty)
-    sums = _joined(blocks, groups, ["conv_id", "group"])
+    blocks = t.where("last").select("conv", "block", group, (F.col("start") + F.col("tokens")).alias("tokens"), "alone", (F.col("at") + 1).alias("n"), tail.alias("tail"))
+    blocks = _summed(blocks, ["conv", "group"], "block", history, empty)
+    groups = _summed(_totals(blocks, ["conv", "group"], history), ["conv"], "group", history, empty)
+    sums = _joined(blocks, groups, ["conv", "group"])
     added = [(F.col(f"before_{c}") + F.col(f"_before_{c}")).alias(f"before_{c}") for c in ("tokens", "alone", "n")]
-    sums = sums.select("conv_id", "block", *added, _last_of(F.concat("_before_tail", "before_tail"), history).alias("before_tail"))
-    t = _joined(t, sums, ["conv_id", "block"])
+    sums = sums.select("conv", "block", *added, _last_of(F.concat("_before_tail", "before_tail"), history).alias("before_tail"))
+    t = _joined(t, sums, ["conv", "block"])
     lasts = _last_of(F.concat("_before_tail", "back"), history) if history else empty
     return t.select(
-        "conv_id", "role", "text", "tokens", "own", (F.col("at") + F.col("_before_n")).alias("at"), (F.col("start") + F.col("_before_tokens")).alias("start"),
+        "conv.conv_id", "role", "text", "tokens", "own", (F.col("at") + F.col("_before_n")).alias("at"), (F.col("start") + F.col("_before_tokens")).alias("start"),
         (F.col("alone") + F.col("_before_alone")).alias("alone"), lasts.alias("before"),
     )
 
