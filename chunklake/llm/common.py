@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,26 @@ def release(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession, most: float = 0.5) -> None:
+    """Gives back memory that the driver's JVM holds but doesn't use.
+
+    A step's plans, broadcasts and metrics are garbage as soon as it is written. Left alone, the heap would grow to its limit before
+    they go, so it is collected once it has grown over ``most`` of that. Beside the heap, what the compiler and the hundreds of threads of
+    a plan's exchanges have freed stays in the C library's pools of each thread until they are trimmed.
+    """
+    java = spark._jvm.java.lang
+    runtime = java.Runtime.getRuntime()
+    if runtime.totalMemory() > most * runtime.maxMemory():
+        gc.collect()  # what Python holds of the JVM goes first
+        java.System.gc()
+    with suppress(Py4JError, StopIteration):  # other JVMs than HotSpot on Linux can't be asked to
+        server = java.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in java.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        asked = spark.sparkContext._gateway.new_array(java.Object, 4)
+        asked[0], asked[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, asked)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
@@ -86,6 +108,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with shuffle_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     if _scopes:

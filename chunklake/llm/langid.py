@@ -58,12 +58,11 @@ def family(lang: str) -> str:
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, both classes weighted alike (accelerated gradient descent). y: 1 or -1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x1.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)  # the last one is the bias; x isn't copied to hold a column for it
     ahead, rate = w.copy(), np.float32(1 / (4 + ridge))  # rows have length sqrt(2) at most
     for t in range(steps):
-        gap = np.maximum(0, 1 - y * (x1 @ ahead))
-        new = ahead - rate * (ridge * ahead - 2 * (x1.T @ (weight * y * gap)))
+        pull = weight * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        new = ahead - rate * (ridge * ahead - 2 * np.append(x.T @ pull, pull.sum()))
         ahead = new + np.float32(t / (t + 3)) * (new - w)
         w = new
     return w[:-1], float(w[-1])
@@ -88,8 +87,9 @@ class OneVersusOne:
         for a, b in combinations(out.classes, 2):
             rows = np.flatnonzero((labels == a) | (labels == b))
             y = np.where(labels[rows] == a, 1, -1).astype(np.float32)
-            w, bias = svm(x[rows], y)
-            found.append((w, bias, slope(x[rows] @ w + bias, y)))
+            own = x if len(rows) == len(x) else x[rows]
+            w, bias = svm(own, y)
+            found.append((w, bias, slope(own @ w + bias, y)))
         if found:
             out.weights, out.bias, out.slopes = (np.array(v, np.float32) for v in zip(*found, strict=True))
         return out

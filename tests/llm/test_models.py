@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import data
 import numpy as np
@@ -33,6 +34,19 @@ def test_languages_held_out_and_awkward_rows(spark):
     assert {r.lang_pred for r in langid.predict(df.where("doc_id < 9"), one).collect()} == {"en"}
 
 
+def test_fitting_holds_no_second_copy_of_the_sample():
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, langid.DIMS), np.float32) / 32
+    x[:1000, :9] += 0.2
+    y = np.array(["a"] * 1000 + ["b"] * 1000, object)
+    tracemalloc.start()
+    model = langid.OneVersusOne.fit(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 2, most / x.nbytes
+    assert (model.probabilities(x).argmax(1) == (y == "b")).all()
+
+
 def test_letters():
     assert langid.has_letter("é".encode()) and not langid.has_letter("½ € 12 😀".encode()) and not langid.has_letter(None)
 
