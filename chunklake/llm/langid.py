@@ -5,9 +5,10 @@ one linear support vector machines separate the languages of that family. Featur
 the whole text. The score is the family's probability times the language's, each from the machines' summed margins.
 
 Fitting uses a bounded sample: about ``per_language`` labelled documents of each language (by a hash of doc_id), fewer where there are so
-many languages that they would be more than ``most_rows`` in total; so the driver holds ``most_rows`` * DIMS numbers at most,
-whatever the corpus. Every language is learned. The ``most_languages`` most frequent ones get machines; all others are one family (REST)
-in which the nearest mean of a language's vectors decides, as pairs of machines would grow with the square of their number.
+many languages that they would be more than ``most_rows`` in total, but one of each at least; so the driver holds about ``most_rows`` rows
+of DIMS numbers and one for each language, whatever the corpus. Every language is learned. The ``most_languages`` most frequent ones
+get machines; all others are one family (REST) in which the nearest mean of a language's vectors decides, as pairs of machines would grow with
+the square of their number.
 
 Cases: null text, or text without a letter, gives ``und`` and score 0; rows without a language or text are not learned from; one
 known language only: it is predicted with score 1; no labelled row at all: ``und``; repeated rows get one answer each, the same;
@@ -157,12 +158,14 @@ def vectors(texts: list[bytes]) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = 1000, most_languages: int = 50, most_rows: int = 20_000) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
+    place = [unit_hash(21).alias("u"), F.xxhash64("text").alias("t")]
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("low")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
     if not counts:
         return Model(OneVersusOne([]), {})
     wanted = min(per_language, most_rows / len(counts))
-    shares = docs.sparkSession.createDataFrame([(r.lang, wanted / r.n) for r in counts], "lang string, share double")
-    sampled = labelled.join(F.broadcast(shares.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).where(unit_hash(21) < F.col("share"))
+    shares = docs.sparkSession.createDataFrame([(r.lang, wanted / r.n, *r.low) for r in counts], "_lang string, _share double, _u double, _t long")
+    lowest = (place[0] == F.col("_u")) & (place[1] == F.col("_t"))  # a small share may take no other document of a language
+    sampled = labelled.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where((place[0] < F.col("_share")) | lowest)
     labels, x = collected(sampled, F.col("lang"), vectors)
     own = {r.lang for r in counts[:most_languages]}
     y = np.array(labels, object)

@@ -34,6 +34,13 @@ def test_languages_held_out_and_awkward_rows(spark):
     assert {r.lang_pred for r in langid.predict(df.where("doc_id < 9"), one).collect()} == {"en"}
 
 
+def test_no_language_is_lost_by_a_small_share(spark):
+    names = [f"l{i}" for i in range(60)]
+    rows = [(i, f"w{n} x{n}y", n, "s", 1) for i, n in enumerate(names * 5)] + [(7, f"z{k}", "same", "s", 1) for k in range(9)]
+    model = langid.fit(data.frame(spark, rows), most_languages=2, most_rows=61)
+    assert sorted(c for m in model.languages.values() for c in m.classes) == sorted([*names, "same"])
+
+
 def test_fitting_holds_no_second_copy_of_the_sample():
     rng = np.random.default_rng(3)
     x = rng.random((2000, langid.DIMS), np.float32) / 32
