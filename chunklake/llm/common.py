@@ -116,16 +116,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes in memory up to which a table may be broadcast, where the session's threshold allows it.
+BROADCAST = 32 << 20
+
+
+def rows_in(table: DataFrame) -> int:
+    """The number of rows of a table made by ``written``, read from its footers once."""
+    if getattr(table, "_rows", None) is None:
+        table._rows = table.count()
+    return table._rows
+
+
+def held(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """df, kept from being broadcast where so many rows take more than BROADCAST in memory.
+
+    Spark decides by sizes of compressed files, in which an array counts as one element and an exploded row as one row: so a table that
+    fills the driver's heap can look smaller than the threshold, until the input is so large that even its file is not.
+    """
+    return df.hint("merge") if rows * row_bytes > BROADCAST else df
+
+
 def attached(rows: DataFrame, facts: DataFrame, key: str, parts: int = 1000) -> DataFrame:
     """rows joined with facts (one row for each key, with n, the number of rows that have it).
 
     Keys with a ``parts``-th of all rows or more are ``parts`` at most by arithmetic: their facts are broadcast, so that no hot key's
     rows meet in one task. All other keys are small, and their rows are shuffled.
     """
-    total = facts.agg(F.sum("n")).first()[0] or 0
+    total, keys = facts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = F.col("n") * parts >= total
     often = F.broadcast(facts.where(hot).drop("n"))
-    seldom = rows.join(often.select(key), key, "left_anti").join(facts.where(~hot).drop("n"), key)
+    seldom = rows.join(often.select(key), key, "left_anti").join(held(facts.where(~hot).drop("n"), keys), key)
     return rows.join(often, key).unionByName(seldom)
 
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import release, written
+from chunklake.llm.common import held, release, rows_in, written
 
 
-def _star(links: DataFrame, least: DataFrame) -> DataFrame:
-    return links.join(least, "u")
+def _star(links: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    return links.join(held(least, rows), "u")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,11 +28,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u is linked to the smallest node around u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _star(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _star(both, least, 2 * rows_in(e)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every smaller neighbour of u, and u, is linked to the smallest of them
         large = written(large.where("u > v").distinct(), "links-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _star(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = _star(large, least, rows_in(large)).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, e = e, written(small.where("u > v").distinct(), "links-small")
         release(old, large)
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import plain, written
+from chunklake.llm.common import held, plain, rows_in, written
 from chunklake.llm.tokens import chunks, ids_of, words_of
 
 SEGMENT = 48
@@ -286,4 +286,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     h = F.xxhash64(plain(F.col("text")).cast("binary"))
     found = leaks(docs.select(h.alias("doc_id"), "text"), items, **options)  # a leak depends on the text alone
     gone = written(found.select(F.col("doc_id").alias("gone")).distinct(), "leaks")
-    return docs.join(gone, h == F.col("gone"), "left_anti")
+    return docs.join(held(gone, rows_in(gone)), h == F.col("gone"), "left_anti")
